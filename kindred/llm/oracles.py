@@ -14,3 +14,14 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from j group by doc_id
 """
+
+SUBSTRING_DEDUP = """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, unnest(range(1, len(w) - 11)) as i, w from d where len(w) >= 13),
+h as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as run from g),
+m as (select run, min(doc_id) as first from h where doc_id is not null group by run),
+r as (select h.doc_id, unnest(range(h.i, h.i + 13)) as at from h join m on h.run = m.run where h.doc_id > m.first),
+gone as (select doc_id, list_distinct(list(at)) as at from r group by doc_id),
+k as (select d.doc_id, d.w, coalesce(list_filter(d.w, lambda x, i: not list_contains(gone.at, i)), d.w) as kept from d left join gone on d.doc_id = gone.doc_id)
+select doc_id, len(w) as n_words, len(w) - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+"""
