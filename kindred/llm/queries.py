@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import bpe, html_extract, lines, packing, pii, substrings, toxicity
+from kindred.llm import bpe, html_extract, jaccard, lines, packing, pii, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_byte_bpe, op5_pii, op6_substring_dedup, op7_line_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_byte_bpe, op4_jaccard_join, op5_pii, op6_substring_dedup, op7_line_dedup, op9_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
