@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import bpe, html_extract, jaccard, lines, packing, pii, substrings, toxicity
+from kindred.llm import bpe, embed_dedup, html_extract, jaccard, lines, oracles, packing, pii, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_byte_bpe, op4_jaccard_join, op5_pii, op6_substring_dedup, op7_line_dedup, op9_toxicity)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_byte_bpe, op4_jaccard_join, op5_pii, op6_substring_dedup, op7_line_dedup, op8_exact_top_k, op9_toxicity, op10_embedding_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_jaccard_join": oracles.JACCARD_JOIN,
+    "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op7_line_dedup": oracles.LINE_DEDUP,
+    "op8_exact_top_k": oracles.EXACT_TOP_K,
+    "op10_embedding_dedup": oracles.EMBEDDING_DEDUP,
+}
