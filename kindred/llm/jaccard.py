@@ -8,7 +8,9 @@
    of hashed bitmaps bound the overlap of two sets from above, and sorted arrays are intersected only where the
    bound allows a link. Pairs already connected are passed over, as only the components are asked for.
 4. Two rounds with minimum hashes as keys connect nearly everything. The last round takes every prefix hash as a
-   key, for classes not yet connected, which finds the rest: no link between different components is lost.
+   key, for classes not yet connected, which finds the rest: no link between different components is lost. There
+   the bitmaps alone travel; the sets of the few pairs that they let pass are fetched for the exact test. A key
+   with very many classes goes through tiles with cells as before.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ PERCENT = 80
 #: Shingles in a cell of a tile, on average at most.
 CELL = 1 << 20
 MIN_HASH_ROUNDS = 2
+#: Classes with a key in the last round, beyond which the key is dealt over tiles.
+LARGE_KEY = 4096
+#: Bits of the bitmaps that travel in the last round.
+SIGNATURE = 2048
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -165,6 +171,78 @@ def keyed(classes: DataFrame, keys) -> DataFrame:
     return classes.select("c", "comp", "grams").mapInArrow(rows, schema)
 
 
+def signatures(classes: DataFrame) -> DataFrame:
+    """``(c, sign)``: bitmaps of one width for all classes."""
+    target = arrow_schema(classes.sparkSession, "c long, sign binary")
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = []
+            for grams in column(batch, "grams").to_pylist():
+                bit = np.zeros(SIGNATURE, bool)
+                bit[(np.frombuffer(grams, np.uint64) & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
+                signs.append(np.packbits(bit).tobytes())
+            yield record({"c": column(batch, "c"), "sign": signs}, target)
+
+    return classes.select("c", "grams").mapInArrow(rows, "c long, sign binary")
+
+
+def bounded_pairs(key: np.ndarray, at: np.ndarray, n: np.ndarray, comp: np.ndarray, signs: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of indices into ``signs`` that share a key, lie in different components and may link by their bitmaps."""
+    order = np.lexsort((n, key))
+    key, at, n, comp = key[order], at[order], n[order].astype(np.int64), comp[order]
+    found: list[np.ndarray] = []
+    left, step = np.arange(len(key)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(key)]
+        right = left + step
+        # within a key sizes ascend, so a pair too far apart ends its row
+        left = left[(key[left] == key[right]) & (100 * n[left] >= percent * n[right])]
+        right = left + step
+        i, j = left[comp[left] != comp[right]], right[comp[left] != comp[right]]
+        if len(i):
+            code = (np.minimum(at[i], at[j]).astype(np.int64) << 32) | np.maximum(at[i], at[j])
+            code, first = np.unique(code, return_index=True)
+            i, j = i[first], j[first]
+            for k in range(0, len(i), 1 << 16):
+                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                sa, sb = signs[at[a]], signs[at[b]]
+                bound = np.minimum(n[a] - np.bitwise_count(sa & ~sb).sum(1, dtype=np.int64), n[b] - np.bitwise_count(sb & ~sa).sum(1, dtype=np.int64))
+                found.append(code[k : k + (1 << 16)][bound * (100 + percent) >= percent * (n[a] + n[b])])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def last_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """``(a, b)``: every link between different components of ``classes`` with ``c``, ``comp`` and ``grams``."""
+    rows = keyed(classes, lambda grams: grams[: prefix(len(grams), percent, False)])
+    shared = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("often")).where("low < high").select("key", "often")
+    open_rows = cut(rows.join(shared, "key"))
+    small = open_rows.where(F.col("often") <= LARGE_KEY).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    signs = small.select(F.col("bucket").alias("at"), F.col("c").alias("of")).distinct().join(signatures(classes).withColumnRenamed("c", "of"), "of")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("of").to_numpy()
+        order = np.argsort(ids)
+        signs_ = np.frombuffer(b"".join(right.column("sign").to_pylist()), np.uint64).reshape(len(ids), -1)[order] if len(ids) else np.empty((0, SIGNATURE // 64), np.uint64)
+        ids = ids[order]
+        at = np.searchsorted(ids, left.column("c").to_numpy())
+        code = bounded_pairs(left.column("key").to_numpy(), at, left.column("n").to_numpy(), left.column("comp").to_numpy(), signs_, percent)
+        return pa.table({"a": ids[code >> 32], "b": ids[code & 0xFFFFFFFF]}) if len(code) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    pairs = small.select("bucket", "key", "c", "n", "comp").groupBy("bucket").cogroup(signs.groupBy("at")).applyInArrow(compare, "a long, b long").distinct()
+    sets = classes.select("c", "grams")
+    both = pairs.join(sets.withColumnRenamed("grams", "grams_a"), pairs["a"] == F.col("c")).drop("c").join(sets.withColumnRenamed("grams", "grams_b"), F.col("b") == F.col("c")).select("a", "b", "grams_a", "grams_b")
+
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(column(batch, "grams_a").to_pylist(), column(batch, "grams_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    large = open_rows.where(F.col("often") > LARGE_KEY).select("key", "c", "n", "comp")
+    return both.mapInArrow(exact, "a long, b long").unionByName(tile_links(classes, large, percent))
+
+
 def tile_links(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: links that connect the components of ``classes`` that share a key.
 
@@ -218,25 +296,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = cut(members.join(sets, "key").select("key", "c", "grams"))
     labels = classes.select("c", F.col("c").alias("comp"))
     links = None
-    for k in range(MIN_HASH_ROUNDS + 1):
-        now = classes.select("c", "grams").join(labels, "c")
-        if k < MIN_HASH_ROUNDS:
-            turn = multipliers(MIN_HASH_ROUNDS, 7)[k]
-            keys = lambda grams, turn=turn: mixed(grams * turn).min(keepdims=True)
-        else:
-            keys = lambda grams: grams[: prefix(len(grams), percent, False)]
-        rows = keyed(now, keys)
-        if k == MIN_HASH_ROUNDS:
-            rows = cut(rows)
-        more = cut(tile_links(now, rows, percent))
+    for turn in multipliers(MIN_HASH_ROUNDS, 7):
+        now = classes.select("c", F.col("c").alias("comp"), "grams")
+        rows = keyed(now, lambda grams, turn=turn: mixed(grams * turn).min(keepdims=True))
+        more = tile_links(now, rows, percent)
         links = more if links is None else links.unionByName(more)
-        if k >= MIN_HASH_ROUNDS - 1:
-            whole = components(links)
-            labels = cut(classes.select("c").join(whole.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("label", "c").alias("comp")))
+    labels = labelled(classes, links := cut(links))
+    links = links.unionByName(cut(last_links(classes.select("c", "grams").join(labels, "c"), percent, 1 << max(4, part_bits(docs) - 2))))
+    labels = labelled(classes, links)
     ends = classes.select("key", "c").join(labels, "c").select("key", F.col("comp").alias("label"))
     return found.join(ends, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    whole = components(links).withColumnRenamed("node", "c")
+    return cut(classes.select("c").join(whole, "c", "left").select("c", F.coalesce("label", "c").alias("comp")))
+
+
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its component, and rows without an id."""
     gone = near_duplicates(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
