@@ -24,9 +24,7 @@ from pyspark.sql.types import StructType
 from kindred.llm.frames import arrow_schema, column, record
 
 #: Labelled rows to learn from, at most; the ones with the smallest hash of their id.
-SAMPLE = 12_000
-#: A feature must occur in this many of them.
-LEAST_DOCS = 5
+SAMPLE = 8_000
 LEXICON = 256
 #: Standard errors of the bound on the share of toxic rows among those with a feature.
 Z = 2.5
@@ -125,17 +123,17 @@ def fit_logistic(rows: list[np.ndarray], n: int, target: np.ndarray, rounds: int
     return w, b
 
 
-def one_of_each(words: list[set[bytes]]) -> list[int]:
+def one_of_each(rows: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, bytes, int]]:
     """Rows without those that share their three smallest word hashes with an earlier one: copies would vote as many."""
     import xxhash
 
     seen: set[tuple[int, ...]] = set()
     kept = []
-    for i, ws in enumerate(words):
-        key = tuple(heapq.nsmallest(3, map(xxhash.xxh3_64_intdigest, ws)))
+    for row in rows:
+        key = tuple(heapq.nsmallest(3, map(xxhash.xxh3_64_intdigest, row[0].split())))
         if key not in seen:
             seen.add(key)
-            kept.append(i)
+            kept.append(row)
     return kept
 
 
@@ -145,34 +143,46 @@ def least_share(a: int, b: int) -> float:
     return (a + z2 / 2 - Z * math.sqrt(a * b / n + z2 / 4)) / (n + z2)
 
 
-def learn(words: list[set[bytes]], patterns: list[list[bool]], labels: list[int]) -> Classifier | None:
-    """None without rows of both labels."""
-    rows_of = [[i for i in one_of_each(words) if labels[i] == label] for label in (0, 1)]
-    if not all(rows_of):
+def learn(rows: list[tuple[bytes, bytes, int]]) -> Classifier | None:
+    """From ``(distinct words, pattern votes, label)`` of each row; None without rows of both labels.
+
+    Features are counted text by text, first over the toxic rows and then, for those that can still become voters,
+    over the others; memory follows the packed texts.
+    """
+    kept = one_of_each(rows)
+    y = np.array([label for *_, label in kept])
+    if not len(y) or y.min() == y.max():
         return None
-    kept = sorted(rows_of[0] + rows_of[1])
-    y = np.array([labels[i] for i in kept])
-    features = [Counter(f for w in words[i] for f in features_of(w)) for i in kept]
-    counted = (Counter(), Counter())
-    for fs, label in zip(features, y):
-        counted[label].update(fs.keys())
-    sure = {f: least_share(counted[1][f], counted[0][f]) for f in sorted(counted[1]) if counted[1][f] + counted[0][f] >= LEAST_DOCS}
+    toxic: Counter[bytes] = Counter()
+    for words, _, label in kept:
+        if label:
+            toxic.update({f for w in words.split() for f in features_of(w)})
+    # fewer than this many toxic rows can't bring the bound above one half
+    least = next(a for a in range(1, 1000) if least_share(a, 0) > 0.5)
+    toxic = Counter({f: n for f, n in toxic.items() if n >= least})
+    own = [Counter(f for w in words.split() for f in features_of(w) if f in toxic) for words, _, _ in kept]
+    clean: Counter[bytes] = Counter()
+    for fs, label in zip(own, y):
+        if not label:
+            clean.update(fs.keys())
+    sure = {f: least_share(toxic[f], clean[f]) for f in sorted(toxic)}
     known = {f: i for i, f in enumerate(f for f, s in sure.items() if s > 0.5)}
     lexicon = sorted(known, key=lambda f: (-sure[f], f))[:LEXICON]
     chosen = {f: j for j, f in enumerate(lexicon)}
     votes = np.zeros((len(y), len(lexicon)), np.float32)
-    for r, fs in enumerate(features):
+    for r, fs in enumerate(own):
         for f in fs.keys() & chosen.keys():
             votes[r, chosen[f]] = 1
     # a word and its beginnings often vote as one
     votes = np.unique(votes, axis=1) if votes.shape[1] else votes
     hits = votes.sum(1)
-    votes = np.column_stack((votes, np.array([patterns[i] for i in kept]), hits >= 1, hits >= 3, y))
+    patterns = np.array([[v == 49 for v in p] for _, p, _ in kept], np.float32)
+    votes = np.column_stack((votes, patterns, hits >= 1, hits >= 3, y))
     posterior = LabelModel.fit(votes, np.where(y == 1, 0.95, 0.05)).posterior(votes)
     if not known:
         return Classifier({}, math.log(posterior.mean() / (1 - posterior.mean())))
-    rows = [np.array([known[f] for f, n in fs.items() if f in known for _ in range(min(n, 3))], np.int64) for fs in features]
-    w, bias = fit_logistic(rows, len(known), posterior)
+    columns = [np.array([known[f] for f, n in fs.items() if f in known for _ in range(min(n, 3))], np.int64) for fs in own]
+    w, bias = fit_logistic(columns, len(known), posterior)
     return Classifier({f: float(w[i]) for f, i in known.items() if abs(w[i]) > 1e-3}, float(bias))
 
 
@@ -205,8 +215,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    rows = [(*packed.split("\0"), label) for packed, label in training_rows(docs, labels, sample)]
-    return learn([set(w.encode().split(b" ")) - {b""} for w, _, _ in rows], [[v == "1" for v in p] for _, p, _ in rows], [label for *_, label in rows])
+    parts = [(*packed.encode().split(b"\0"), label) for packed, label in training_rows(docs, labels, sample)]
+    return learn(parts)
 
 
 def score(docs: DataFrame, model: Classifier | None, keep_columns: bool = False) -> DataFrame:
