@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ MIN_HASH_ROUNDS = 2
 LARGE_KEY = 4096
 #: Bits of the bitmaps that travel in the last round.
 SIGNATURE = 2048
+#: Width, as a power of two, of the sparse bitmaps that pairs are tested with next.
+SPARSE_BITS = 20
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -187,6 +189,44 @@ def signatures(classes: DataFrame) -> DataFrame:
     return classes.select("c", "grams").mapInArrow(rows, "c long, sign binary")
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """The shingles' leading bits in order, as differences: a sparse bitmap of 2**SPARSE_BITS bits with repeats."""
+    steps = np.diff((grams >> np.uint64(64 - SPARSE_BITS)).astype(np.int64), prepend=0)
+    wide = bool(len(steps)) and steps.max() > 0xFFFF
+    return (b"\1" if wide else b"\0") + steps.astype(np.uint32 if wide else np.uint16).tobytes()
+
+
+def sketched(data: bytes) -> np.ndarray:
+    """Distinct numbers for a sketch's bits, the k-th repeat of a bit having its own."""
+    bits = np.cumsum(np.frombuffer(data[1:], np.uint32 if data[0] else np.uint16), dtype=np.int64)
+    at = np.arange(len(bits))
+    first = np.maximum.accumulate(np.where(np.diff(bits, prepend=-1) > 0, at, 0))
+    return (bits << 24) + at - first
+
+
+def sketches(classes: DataFrame, name: str) -> DataFrame:
+    target = arrow_schema(classes.sparkSession, f"c long, {name} binary")
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record({"c": column(batch, "c"), name: [sketch(np.frombuffer(g, np.uint64)) for g in column(batch, "grams").to_pylist()]}, target)
+
+    return classes.select("c", "grams").mapInArrow(rows, f"c long, {name} binary")
+
+
+def passing(pairs: DataFrame, left: DataFrame, right: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs ``(a, b)`` whose values, the second columns of ``left`` and ``right``, pass a test."""
+    one, two = left.columns[1], right.columns[1]
+    both = pairs.join(left.withColumnRenamed("c", "a"), "a").join(right.withColumnRenamed("c", "b"), "b").select("a", "b", one, two)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [test(x, y) for x, y in zip(column(batch, one).to_pylist(), column(batch, two).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    return both.mapInArrow(rows, "a long, b long")
+
+
 def bounded_pairs(key: np.ndarray, at: np.ndarray, n: np.ndarray, comp: np.ndarray, signs: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of indices into ``signs`` that share a key, lie in different components and may link by their bitmaps."""
     order = np.lexsort((n, key))
@@ -231,16 +271,12 @@ def last_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
         return pa.table({"a": ids[code >> 32], "b": ids[code & 0xFFFFFFFF]}) if len(code) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     pairs = small.select("bucket", "key", "c", "n", "comp").groupBy("bucket").cogroup(signs.groupBy("at")).applyInArrow(compare, "a long, b long").distinct()
+    # a finer bitmap thins the pairs out before whole sets are fetched
+    thin = passing(pairs, sketches(classes, "sketch_a"), sketches(classes, "sketch_b"), lambda x, y: linked(sketched(x), sketched(y), percent))
     sets = classes.select("c", "grams")
-    both = pairs.join(sets.withColumnRenamed("grams", "grams_a"), pairs["a"] == F.col("c")).drop("c").join(sets.withColumnRenamed("grams", "grams_b"), F.col("b") == F.col("c")).select("a", "b", "grams_a", "grams_b")
-
-    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yes = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(column(batch, "grams_a").to_pylist(), column(batch, "grams_b").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
-
+    exact = passing(thin, sets.withColumnRenamed("grams", "grams_a"), sets.withColumnRenamed("grams", "grams_b"), lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
     large = open_rows.where(F.col("often") > LARGE_KEY).select("key", "c", "n", "comp")
-    return both.mapInArrow(exact, "a long, b long").unionByName(tile_links(classes, large, percent))
+    return exact.unionByName(tile_links(classes, large, percent))
 
 
 def tile_links(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
