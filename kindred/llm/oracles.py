@@ -22,7 +22,7 @@ h as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as run from g),
 m as (select run, min(doc_id) as first from h where doc_id is not null group by run),
 r as (select h.doc_id, unnest(range(h.i, h.i + 13)) as spot from h join m on h.run = m.run where h.doc_id > m.first),
 gone as (select doc_id, list_distinct(list(spot)) as spots from r group by doc_id),
-k as (select d.doc_id, d.w, coalesce(list_filter(d.w, lambda x, i: not list_contains(gone.spots, i)), d.w) as kept from d left join gone on d.doc_id = gone.doc_id)
+k as (select d.doc_id, d.w, list_filter(d.w, lambda x, i: not coalesce(list_contains(gone.spots, i), false)) as kept from d left join gone on d.doc_id = gone.doc_id)
 select doc_id, len(w) as n_words, len(w) - len(kept) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
 """
 
