@@ -15,6 +15,7 @@ tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
 
 from kindred.llm import bpe, embed_dedup, html_extract, jaccard, lines, oracles, packing, pii, substrings, topk, toxicity  # noqa: E402
+from kindred.llm.components import components  # noqa: E402
 from kindred.llm.frames import squeeze, unsqueeze  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, batch_id string"
@@ -184,6 +185,16 @@ def test_connect_finds_every_link():
         assert len(jaccard.sketched(jaccard.sketch(s))) == len(s)
 
 
+def test_components(spark):
+    """A path in random order, a star, and repeated and circular links."""
+    order = list(range(100, 160))
+    random.Random(3).shuffle(order)
+    links = [*zip(order, order[1:]), *((9, k) for k in range(20, 40)), (1, 2), (2, 1), (2, 3), (3, 1), (5, 5)]
+    found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert found == {k: 100 for k in order} | {k: 9 for k in [9, *range(20, 40)]} | {1: 1, 2: 1, 3: 1}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_large_keys_go_through_tiles(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "LARGE_KEY", 1)
     monkeypatch.setattr(jaccard, "CELL", 100)
