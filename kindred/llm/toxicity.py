@@ -153,20 +153,23 @@ def learn(rows: list[tuple[bytes, bytes, int]]) -> Classifier | None:
     y = np.array([label for *_, label in kept])
     if not len(y) or y.min() == y.max():
         return None
-    toxic: Counter[bytes] = Counter()
-    for words, _, label in kept:
-        if label:
-            toxic.update({f for w in words.split() for f in features_of(w)})
     # fewer than this many toxic rows can't bring the bound above one half
     least = next(a for a in range(1, 1000) if least_share(a, 0) > 0.5)
-    toxic = Counter({f: n for f, n in toxic.items() if n >= least})
-    own = [Counter(f for w in words.split() for f in features_of(w) if f in toxic) for words, _, _ in kept]
+    toxic: dict[bytes, int] = {}
+    # one kind of feature at a time: most occur once or twice and needn't be held together
+    for size in (None, *STEMS):
+        counts: Counter[bytes] = Counter()
+        for words, _, label in kept:
+            if label:
+                counts.update({w if size is None else w[:size] + b"*" for w in words.split() if size is None or len(w) >= size})
+        toxic |= {f: n for f, n in counts.items() if n >= least}
     clean: Counter[bytes] = Counter()
-    for fs, label in zip(own, y):
+    for words, _, label in kept:
         if not label:
-            clean.update(fs.keys())
+            clean.update({f for w in words.split() for f in features_of(w) if f in toxic})
     sure = {f: least_share(toxic[f], clean[f]) for f in sorted(toxic)}
     known = {f: i for i, f in enumerate(f for f, s in sure.items() if s > 0.5)}
+    own = [Counter(f for w in words.split() for f in features_of(w) if f in known) for words, _, _ in kept]
     lexicon = sorted(known, key=lambda f: (-sure[f], f))[:LEXICON]
     chosen = {f: j for j, f in enumerate(lexicon)}
     votes = np.zeros((len(y), len(lexicon)), np.float32)
@@ -181,7 +184,7 @@ def learn(rows: list[tuple[bytes, bytes, int]]) -> Classifier | None:
     posterior = LabelModel.fit(votes, np.where(y == 1, 0.95, 0.05)).posterior(votes)
     if not known:
         return Classifier({}, math.log(posterior.mean() / (1 - posterior.mean())))
-    columns = [np.array([known[f] for f, n in fs.items() if f in known for _ in range(min(n, 3))], np.int64) for fs in own]
+    columns = [np.array([known[f] for f, n in fs.items() for _ in range(min(n, 3))], np.int64) for fs in own]
     w, bias = fit_logistic(columns, len(known), posterior)
     return Classifier({f: float(w[i]) for f, i in known.items() if abs(w[i]) > 1e-3}, float(bias))
 
