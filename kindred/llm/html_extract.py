@@ -2,8 +2,10 @@
 
 A page is a row of words and tags. Words score positive and tags mostly negative, by log-odds from labelled
 pages; one linear scan finds the run with the largest sum. A run that begins or ends inside an ``article`` or
-``main`` element is widened to that element, since short paragraphs at its edges belong to it. Subtrees that hold
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments give no tokens.
+``main`` element is widened to that element, since short paragraphs at its edges belong to it. Elements for menus,
+headers, footers, forms, scripts and styles, hidden ones, and containers whose whole class, id, role or label is a
+known name of such parts, adverts, notices or comments give no tokens. Where a page without content elements would
+lose most of its words by those names, they are left to the scores.
 """
 
 from __future__ import annotations
@@ -23,19 +25,25 @@ from kindred.llm.frames import arrow_schema, column, record
 _tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 #: A tag whose quotes don't match.
 _loose = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)")
-_named = re.compile(r"""(?:\bid|\bclass|\brole|\baria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_hidden = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_attribute = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_no_display = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 #: Elements whose content is never main text.
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas select option datalist button xmp noembed noframes".split())
 BOILERPLATE = frozenset("head nav header footer aside form menu dialog fieldset label legend".split())
-#: Parts of class names and ids that mark such content in any element.
+#: Elements that class names and ids can mark as boilerplate; headings, paragraphs and inline elements are left to the scores.
+CONTAINERS = frozenset("div section ul ol dl table center figure details".split())
+#: Whole class names, ids, roles and labels of such containers.
 MARKS = frozenset(
-    "ad ads advert advertisement adverts adsense advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar sidebar sidenav aside widget related recommended "
-    "comment comments reply replies disqus respond discussion share sharing social follow newsletter subscribe subscription signup login search toolbar tags disclaimer copyright".split()
+    "ad ads advert adverts advertisement adsense ad-banner ad-container ad-slot ad-wrapper sponsored comments comment-list comments-area disqus-thread "
+    "cookie-notice cookie-banner cookie-consent cookie-bar gdpr share-buttons social-share social-links navbar breadcrumb breadcrumbs pagination sidebar "
+    "newsletter-signup related-posts related-articles site-header site-footer".split()
+)
+#: Further ones that count outside articles only, where a section can be about them.
+OUTSIDE = frozenset(
+    "nav navigation menu menubar main-nav site-nav sidenav side-nav pager header page-header masthead topbar footer page-footer bottombar banner cookie cookies consent notice notices "
+    "popup modal overlay promo promotion sponsor advertising widget comment reply replies disqus respond share sharing social newsletter subscribe subscription signup login toolbar disclaimer copyright".split()
 )
-_word_parts = re.compile(r"[a-z]+")
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -45,19 +53,29 @@ CONTENT = frozenset(("article", "main"))
 Token = tuple[str, str]  # kind ("word", "<p", "</p", ...), text of a word run
 
 
-def marked(name: str, attributes: str) -> bool:
+def marked(name: str, attributes: str, inside: bool) -> str:
+    """Why an element gives no tokens: its ``kind``, that it is ``hidden``, or its ``name``; empty if it gives some."""
     if name in BOILERPLATE:
-        return True
+        return "kind"
     if not attributes or name in CONTENT or name in ("html", "body"):
-        return False
-    if _hidden.search(attributes):
-        return True
-    return any(part in MARKS for m in _named.finditer(attributes) for part in _word_parts.findall((m[1] or m[2] or m[3] or "").lower()))
+        return ""
+    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed([*_attribute.finditer(attributes)])}
+    if "hidden" in values or _no_display.search(values.get("style", "")):
+        return "hidden"
+    if name in CONTAINERS:
+        for k in ("id", "class", "role", "aria-label"):
+            for part in values.get(k, "").lower().replace("_", "-").split():
+                if part in MARKS or not inside and part in OUTSIDE:
+                    return "name"
+    return ""
+
 
+def tokens(page: str, named: bool = True) -> Iterator[tuple[str, str]]:
+    """Tags as ``("<p", "")`` or ``("</p", "")`` and text between them as ``("", text)``; boilerplate left out.
 
-def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """Tags as ``("<p", "")`` or ``("</p", "")`` and text between them as ``("", text)``; boilerplate left out."""
-    at, skipping, depth, seen_content = 0, "", 0, False
+    Without ``named``, names of containers are not looked at.
+    """
+    at, skipping, depth, seen_content, within = 0, "", 0, False, 0
     size = len(page)
     while at < size:
         found = page.find("<", at)
@@ -92,12 +110,14 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                     if not depth:
                         skipping = ""
                 continue
-        if not closing and name not in VOID and marked(name, match[3] or ""):
+        why = "" if closing or name in VOID else marked(name, match[3] or "", within > 0)
+        if why and (named or why != "name"):
             skipping, depth = name, 1
             yield "<-", ""
             continue
         if name in CONTENT:
             seen_content = True
+            within = max(0, within + (-1 if closing else 1))
         yield ("</" if closing else "<") + name, ""
 
 
@@ -146,8 +166,16 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return at, end
 
 
+def words_in(found: list[Token]) -> int:
+    return sum(len(text.split()) for kind, text in found if not kind)
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     found = list(tokens(page))
+    if not any(kind[1:] in CONTENT for kind, _ in found):
+        every = list(tokens(page, named=False))
+        if 2 * words_in(found) < words_in(every):
+            found = every
     other = weights[""]
     scores = [weights["word"] * len(text.split()) if not kind else weights.get(kind, other) for kind, text in found]
     start, end = best_run(scores)
