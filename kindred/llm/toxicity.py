@@ -8,7 +8,6 @@ words and word beginnings learns the posterior labels and scores every text.
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections import Counter
@@ -124,13 +123,16 @@ def fit_logistic(rows: list[np.ndarray], n: int, target: np.ndarray, rounds: int
 
 
 def one_of_each(rows: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, bytes, int]]:
-    """Rows without those that share their three smallest word hashes with an earlier one: copies would vote as many."""
+    """Rows without those whose whole word set and label equal an earlier one's: copies would vote as many.
+
+    A row's words are distinct and sorted, so equal sets have equal bytes.
+    """
     import xxhash
 
-    seen: set[tuple[int, ...]] = set()
+    seen: set[tuple[bytes, int]] = set()
     kept = []
     for row in rows:
-        key = tuple(heapq.nsmallest(3, map(xxhash.xxh3_64_intdigest, row[0].split())))
+        key = xxhash.xxh3_128_digest(row[0]), row[2]
         if key not in seen:
             seen.add(key)
             kept.append(row)

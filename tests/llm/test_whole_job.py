@@ -2,7 +2,7 @@
 
 import pytest
 
-from kindred.llm import html_extract
+from kindred.llm import html_extract, toxicity
 
 
 # 2
@@ -24,3 +24,12 @@ LONG = "They went down to the shore before the sun rose and stayed until it was
 )
 def test_names_that_only_look_like_boilerplate(page, text):
     assert html_extract.main_text(page, html_extract.fit_weights()) == text
+
+
+# 9
+
+
+def test_only_copies_are_left_out():
+    shared = b"aa bb cc dd"
+    rows = [(shared, b"0", 0), (shared, b"0", 0), (shared, b"0", 1), (shared + b" zz", b"0", 1), *((shared + b" w%d" % i, b"0", 0) for i in range(50))]
+    assert toxicity.one_of_each(rows) == rows[:1] + rows[2:]
