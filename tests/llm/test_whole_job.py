@@ -33,3 +33,7 @@ def test_only_copies_are_left_out():
     shared = b"aa bb cc dd"
     rows = [(shared, b"0", 0), (shared, b"0", 0), (shared, b"0", 1), (shared + b" zz", b"0", 1), *((shared + b" w%d" % i, b"0", 0) for i in range(50))]
     assert toxicity.one_of_each(rows) == rows[:1] + rows[2:]
+
+
+def test_shouting_counts_over_the_whole_text():
+    assert toxicity.pattern_votes("a " * 2500 + "B " * 5000)[0]
