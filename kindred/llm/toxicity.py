@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from kindred.llm.frames import arrow_schema, column, record
 
 #: Labelled rows to learn from, at most; the ones with the smallest hash of their id.
-SAMPLE = 8_000
+SAMPLE = 12_000
 LEXICON = 256
 #: Standard errors of the bound on the share of toxic rows among those with a feature.
 Z = 2.5
