@@ -1,16 +1,18 @@
 """Personal data: patterns, and terms that reveal it by how they occur in the corpus.
 
-The patterns find the protected values. A term discloses a value when it occurs beside the value so much more
+The patterns find the protected values. A term discloses a value when it occurs in the value's documents so much more
 often than by chance that it gives away most of what naming the value would: with document counts,
 ``PMI(term; value) >= IC(value) / alpha``, where ``PMI = ln(co * N / (df(term) * df(value)))`` and
-``IC = -ln(df(value) / N)``. Terms in at least ``support`` documents beside the value are judged. All counts are
-over all documents; they meet in two hash exchanges, first the values and then the terms.
+``IC = -ln(df(value) / N)``. All terms of a document count with each of its values; those with a value in at least
+``support`` documents are judged, so values in fewer documents send no terms. All counts are over all documents;
+they meet in two hash exchanges, first the values and then the terms.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,10 @@ from kindred.llm.frames import column, grouped, map_batches, pack, part_bits, re
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Share of a value's information that a term may give away: 1 / ALPHA.
 ALPHA = 1.25
-#: Documents in which a term must stand beside a value.
+#: Documents in which a term must stand with a value.
 SUPPORT = 3
-#: Terms on either side of a value that count as beside it.
-BESIDE = 10
-LEAST_TERM = 4
+#: Shorter terms are judged unless they are lower-case ASCII letters (at, to, of).
+LEAST_TERM = 3
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,7 +36,10 @@ _ip = re.compile(r"(?<![0-9])[0-9]+((?:\.[0-9]+){3})")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
-_term = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
+#: Punctuation, symbols, spaces and controls beyond ASCII.
+_separators = "".join(c for c in map(chr, range(128, 65536)) if unicodedata.category(c)[0] in "PSZ" or unicodedata.category(c) == "Cc")
+_mark = re.compile(f"[{_separators}]")
+_term = re.compile(rf"[^\x00-/:-@\[-`{{-\x7f{_separators}]+")
 #: Bytes that separate terms: all of ASCII but letters and digits.
 _apart = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
@@ -80,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the terms of some documents, and in how many of them each occurs."""
-    each = [np.unique(word_hashes(t.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass").translate(_apart).split())) for t in texts]
+    each = [np.unique(word_hashes(_mark.sub(" ", t.decode("utf-8", "surrogatepass").lower()).encode("utf-8", "surrogatepass").translate(_apart).split())) for t in texts]
     return np.unique(np.concatenate(each), return_counts=True) if each else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
@@ -95,38 +99,45 @@ def value_of(text: str, span: tuple[str, int, int]) -> int:
     return hash_of(span[0] + ":" + "".join(c for c in text[span[1] : span[2]].lower() if c.isalnum() or c == "."))
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """``(value hash, term hash, start, end)`` of the terms beside each protected value; a value is no term."""
-    words = [(m.start(), m.end()) for m in _term.finditer(text)]
-    inside = [any(a < e and s < b for _, a, b in spans) for s, e in words] if len(spans) < 50 else None
-    starts = np.array([s for s, _ in words], np.int64)
-    covered = np.zeros(len(text) + 1, bool)
-    if inside is None:
-        for _, a, b in spans:
-            covered[a:b] = True
-    for span in spans:
-        value = value_of(text, span)
-        left, right = int(np.searchsorted(starts, span[1])), int(np.searchsorted(starts, span[2]))
-        for i in [*range(max(0, left - BESIDE), left), *range(right, min(len(words), right + BESIDE))]:
-            s, e = words[i]
-            word = text[s:e]
-            if len(word) >= LEAST_TERM and word.isalpha() and not (inside[i] if inside is not None else covered[s:e].any()):
-                yield value, hash_of(word.lower()), s, e
-
-
-def pairs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
-    """Of a batch: sorted distinct (term, value) pairs, in how many documents each occurs, and documents of a value."""
-    pairs: dict[tuple[int, int], int] = {}
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """``(term hash, start, end)`` of the terms that can be judged; a part of a value is no term."""
+    covered = np.zeros(len(text) + 1, np.int64)
+    for _, a, b in spans:
+        covered[a + 1 : b + 1] = 1
+    covered = np.cumsum(covered)
+    for m in _term.finditer(text):
+        s, e = m.span()
+        word = m[0]
+        if (len(word) >= LEAST_TERM or not (word.isascii() and word.islower())) and covered[s] == covered[e]:
+            yield hash_of(word.lower()), s, e
+
+
+def values_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch: sorted distinct values, and in how many documents each occurs."""
     values: dict[int, int] = {}
     for raw in texts:
         text = raw.decode("utf-8", "surrogatepass")
-        if spans := base_spans(text):
-            for v in {value_of(text, s) for s in spans}:
-                values[v] = values.get(v, 0) + 1
-            for v, t in {(v, t) for v, t, _, _ in neighbours(text, spans)}:
-                pairs[t, v] = pairs.get((t, v), 0) + 1
-    keys = sorted(pairs)
-    return np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint64), np.array([pairs[k] for k in keys], np.int64), values
+        for v in {value_of(text, s) for s in base_spans(text)}:
+            values[v] = values.get(v, 0) + 1
+    keys = sorted(values)
+    return np.array(keys, np.uint64), np.array([values[k] for k in keys], np.int64)
+
+
+def pairs_of(texts: list[bytes], enough: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: sorted distinct (term, value) pairs of the values in ``enough``, and in how many documents each occurs."""
+    terms, values = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for raw in texts if enough else []:
+        text = raw.decode("utf-8", "surrogatepass")
+        spans = base_spans(text)
+        own = np.array(sorted({value_of(text, s) for s in spans} & enough), np.uint64)
+        if len(own):
+            found = np.array(sorted({t for t, _, _ in terms_of(text, spans)}), np.uint64)
+            terms.append(np.repeat(found, len(own)))
+            values.append(np.tile(own, len(found)))
+    term, value = np.concatenate(terms), np.concatenate(values)
+    order, starts = grouped(term, value)
+    first = order[starts]
+    return term[first], value[first], np.diff(np.append(starts, len(order)))
 
 
 def disclosing(docs_n: int, alpha: float, support: int):
@@ -149,16 +160,15 @@ def disclosing(docs_n: int, alpha: float, support: int):
 
 
 def with_disclosures(docs: DataFrame, finish, schema, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """Run ``finish(table, texts, told)`` over batches; ``told``: the (term, value) pairs that disclose."""
+    """Run ``finish(table, texts, told)`` over batches; ``told``: the terms that disclose each value."""
     packed = pack(docs)
     bits, total = part_bits(docs), docs.count()
     payload = {"value": np.uint64, "of_value": np.int64, "n": np.int64}
     columns = "part int, batch_id long, hashes binary"
 
     def ask_values(batch_id: int, table: pa.Table, _: dict) -> Iterator[dict]:
-        *_, values = pairs_of(raw(table))
-        keys = np.array(sorted(values), np.uint64)
-        yield from send(batch_id, max(4, bits - 4), keys, n=np.array([values[int(k)] for k in keys], np.int64))
+        keys, n = values_of(raw(table))
+        yield from send(batch_id, max(4, bits - 4), keys, n=n)
 
     def sums(hashes: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
         order, starts = grouped(hashes)
@@ -168,34 +178,29 @@ def with_disclosures(docs: DataFrame, finish, schema, alpha: float = ALPHA, supp
 
     of_values = resolve(map_batches(packed, ask_values, columns + ", n binary"), sums, n=np.int64)
 
-    def asked(table: pa.Table, row: dict) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        texts = raw(table)
+    def asked(texts: list[bytes], row: dict) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         terms, n = term_counts(texts)
-        pair_term, pair_value, co, values = pairs_of(texts)
-        df = dict(zip(sorted(values), received(row["answers"], np.int64).tolist()))
-        none = np.zeros(len(terms), np.uint64)
-        hashes, value = np.concatenate((terms, pair_term)), np.concatenate((none, pair_value))
-        of_value = np.concatenate((none.astype(np.int64), np.array([df[int(v)] for v in pair_value], np.int64)))
+        values, df = values_of(texts)[0], received(row["of_values"], np.int64)
+        pair_term, pair_value, co = pairs_of(texts, set(values[df >= support].tolist()))
+        hashes, value = np.concatenate((terms, pair_term)), np.concatenate((np.zeros(len(terms), np.uint64), pair_value))
+        of_value = np.concatenate((np.zeros(len(terms), np.int64), df[np.searchsorted(values, pair_value)]))
         order = np.lexsort((value, hashes))
         return hashes[order], {"value": value[order], "of_value": of_value[order], "n": np.concatenate((n, co))[order]}
 
     def ask_terms(batch_id: int, table: pa.Table, row: dict) -> Iterator[dict]:
-        hashes, more = asked(table, row)
+        hashes, more = asked(raw(table), row)
         yield from send(batch_id, bits, hashes, **more)
 
-    told = resolve(map_batches(packed.join(of_values, "batch_id", "left"), ask_terms, columns + ", value binary, of_value binary, n binary"), disclosing(total, alpha, support), **payload)
+    packed = packed.join(of_values.withColumnRenamed("answers", "of_values"), "batch_id", "left")
+    told = resolve(map_batches(packed, ask_terms, columns + ", value binary, of_value binary, n binary"), disclosing(total, alpha, support), **payload)
 
     def last(_: int, table: pa.Table, row: dict) -> Iterator[dict]:
         texts = raw(table)
-        pair_term, pair_value, _co, _v = pairs_of(texts)
-        pairs: set[tuple[int, int]] = set()
-        if len(pair_term):
-            terms, _n = term_counts(texts)
-            hashes = np.concatenate((terms, pair_term))
-            value = np.concatenate((np.zeros(len(terms), np.uint64), pair_value))
-            order = np.lexsort((value, hashes))
-            yes = order[received(row["answers"], np.uint8) == 1] - len(terms)
-            pairs = {(int(pair_term[i]), int(pair_value[i])) for i in yes}
+        pairs: dict[int, set[int]] = {}
+        if row["of_values"]:
+            hashes, more = asked(texts, row)
+            for i in np.flatnonzero((received(row["answers"], np.uint8) == 1) & (more["value"] != 0)):
+                pairs.setdefault(int(more["value"][i]), set()).add(int(hashes[i]))
         yield finish(table, texts, pairs)
 
     return map_batches(packed.join(told, "batch_id", "left"), last, schema)
@@ -205,10 +210,11 @@ def raw(table: pa.Table) -> list[bytes]:
     return [x or b"" for x in column(table, "text", pa.binary()).to_pylist()]
 
 
-def all_spans(text: str, told: set[tuple[int, int]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def all_spans(text: str, told: dict[int, set[int]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Pattern spans, and these with the disclosing terms of this document."""
     base = base_spans(text)
-    terms = {("term", s, e) for v, t, s, e in neighbours(text, base) if (t, v) in told} if base and told else set()
+    own = set().union(*(told.get(value_of(text, s), ()) for s in base)) if base and told else set()
+    terms = [("term", s, e) for t, s, e in terms_of(text, base) if t in own] if own else []
     return base, sorted([*base, *terms], key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -223,7 +229,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataF
     count as documents of their own. Offsets are code points, ends exclusive.
     """
 
-    def finish(table: pa.Table, texts: list[bytes], told: set[tuple[int, int]]) -> dict:
+    def finish(table: pa.Table, texts: list[bytes], told: dict[int, set[int]]) -> dict:
         out = {f"n_{k}": [] for k in KINDS[:4]} | {"base_sha256": [], "spans": []}
         for t in texts:
             base, every = all_spans(t.decode("utf-8", "surrogatepass"), told)
@@ -254,7 +260,7 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``docs`` with personal data generalised to its kind and disclosing terms removed from ``text``; a null stays null."""
 
-    def finish(table: pa.Table, texts: list[bytes], told: set[tuple[int, int]]) -> dict:
+    def finish(table: pa.Table, texts: list[bytes], told: dict[int, set[int]]) -> dict:
         new = []
         for was, t in zip(column(table, "text").to_pylist(), texts):
             spans = all_spans(was or "", told)[1]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from kindred.llm import html_extract, toxicity
+from kindred.llm import html_extract, pii, toxicity
 
 
 # 2
@@ -26,6 +26,18 @@ def test_names_that_only_look_like_boilerplate(page, text):
     assert html_extract.main_text(page, html_extract.fit_weights()) == text
 
 
+# 5
+
+
+@pytest.mark.parametrize("name", ["Lee", "Li", "王伟", "O’Brien", "AC12345"])
+@pytest.mark.parametrize("between", [1, 40])
+def test_terms_of_any_kind_and_place_disclose(spark, name, between):
+    filler = " ".join(["plain today text call"] * between)
+    rows = [(i, f"{name} {filler} zed@mail.example") for i in range(6)] + [(i, "plain today text call") for i in range(6, 40)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert clean[0] == f"{'’' if '’' in name else ''} {filler} <EMAIL>" and clean[10] == rows[10][1]
+
+
 # 9
 
 
