@@ -5,10 +5,11 @@ For another unit vector q, ``<q, code> / <code, o>`` estimates ``<q, o>`` withou
 ``EPS * sqrt((1 - c * c) / (c * c * (D - 1)))`` with high confidence. Only pairs whose upper bound reaches the
 threshold are computed again, exactly and in double precision.
 
-Pairs come from tiles. Vectors of one label lie in one cell while there are at most ``CELL`` of them; a larger
-label is cut by the signs of some random directions into about as many cells as it has multiples of that, and
-again by others, so often that a pair at the threshold shares a cell with probability ``RECALL``. A pair counts
-in the first cutting that joins it. Cells are dealt into blocks, and a tile is a pair of blocks.
+Pairs come from tiles. Vectors of one label and dimension lie in one cell while there are at most ``CELL`` of them;
+of a larger group about every ``CELL``-th is a pivot, and each vector's home is the cell of its nearest pivot. By the
+triangle inequality, a vector within angle ``t`` of one whose home is another cell is at most ``2 * t`` farther from
+that cell's pivot than from its own; it is a guest in every such cell after its own, so each pair meets in one cell.
+Homes and guests are dealt into blocks, and a tile is a pair of blocks, one of homes at least.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
@@ -32,7 +32,8 @@ COSINE = 0.98
 EPS = 4.0
 CELL = 8192
 BLOCK = 4096
-RECALL = 0.998
+#: Pivots of a group at most; beyond that cells grow.
+PIVOTS = 256
 SEED = 20
 
 
@@ -43,21 +44,23 @@ def rotation(d: int, turn: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def cuttings(bits: int, cosine: float) -> int:
-    """How many cuttings by ``bits`` signs join a pair at the threshold with probability ``RECALL``."""
-    same = (1 - math.acos(cosine) / math.pi) ** bits
-    return 1 if bits == 0 else math.ceil(math.log(1 - RECALL) / math.log(1 - same))
+def cell_members(units: np.ndarray, pivots: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, their cells, and whether they are guests there."""
+    n = len(units)
+    if pivots is None:
+        return np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+    angle = np.arccos(np.clip(units @ pivots.T, -1, 1))
+    home = angle.argmin(1)
+    near = angle <= angle.min(1, keepdims=True) + 2 * math.acos(max(-1.0, min(1.0, cosine))) + 1e-6
+    near &= np.arange(len(pivots)) >= home[:, None]
+    row, cell = np.nonzero(near)
+    return row, cell, cell != home[row]
 
 
-def cell_keys(units: np.ndarray, bits: int, cosine: float) -> np.ndarray:
-    """A column of cell numbers for each cutting."""
-    n, d = units.shape
-    times = cuttings(bits, cosine)
-    if bits == 0:
-        return np.zeros((n, 1), np.int64)
-    turns = -(-times * bits // d)
-    signs = np.hstack([units @ rotation(d, 1 + t).T > 0 for t in range(turns)])[:, : times * bits]
-    return (signs.reshape(n, times, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    # a first division keeps squares in range
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
 class Codes:
@@ -77,14 +80,12 @@ class Codes:
         return (self.rotated @ other.code.T) / other.correction + other.error
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, keys_a: np.ndarray, keys_b: np.ndarray, turn: int, cosine: float, same: bool, rows: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+def tile_links(a: np.ndarray, b: np.ndarray, cosine: float, same: bool, rows: int = 512) -> Iterator[tuple[int, np.ndarray]]:
     """Yields ``(first row, link matrix)`` for runs of rows of ``a`` against all of ``b``."""
     codes_b = Codes(b)
     for at in range(0, len(a), rows):
         part = a[at : at + rows]
         may = Codes(part).upper(codes_b) >= cosine
-        for earlier in range(turn):
-            may &= keys_a[at : at + rows, earlier, None] != keys_b[None, :, earlier]
         if same:
             may &= np.arange(at, at + len(part))[:, None] < np.arange(len(b))[None, :]
         i, j = np.nonzero(may)
@@ -123,45 +124,60 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     good = usable(e) & F.coalesce(nonzero, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", "label", F.when(good, e).alias("v"))
     classes = cut(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("c"), F.count("*").alias("size")))
-    sizes = classes.groupBy("label").agg(F.count("*").alias("of_label"))
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("of_label") / CELL))).cast("int")
-    prepared = classes.join(sizes.select("label", bits.alias("bits")), "label").withColumn("d", F.size("v"))
-
-    schema = "label int, d int, turn int, cell long, c long, size long, unit array<double>, cells array<long>"
-    target = arrow_schema(vectors.sparkSession, schema.replace("label int", f"label {dict(vectors.dtypes)['label']}"))
+    of_group = Window.partitionBy("label", "d").orderBy(F.xxhash64("c"), "c")
+    prepared = classes.withColumn("d", F.size("v"))
+    sizes = prepared.groupBy("label", "d").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL))
+    chosen = prepared.join(F.broadcast(sizes), ["label", "d"]).withColumn("r", F.row_number().over(of_group)).where(F.col("r") <= wanted)
+    pivots: dict[tuple, list] = {}
+    for r in chosen.select("label", "d", "v").collect():
+        pivots.setdefault((r["label"], r["d"]), []).append(r["v"])
+    shared = vectors.sparkSession.sparkContext.broadcast({k: unit_rows(np.array(v, float)) for k, v in pivots.items()})
+
+    kind = dict(vectors.dtypes)["label"]
+    schema = f"label {kind}, d int, cell long, guest boolean, c long, size long, unit array<double>"
+    target = arrow_schema(vectors.sparkSession, schema)
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bits_, d in sorted(set(zip(column(batch, "bits").to_pylist(), column(batch, "d").to_pylist()))):
-                chosen = pa.Table.from_batches([batch]).filter((pa.compute.field("bits") == bits_) & (pa.compute.field("d") == d))
-                v = column(chosen, "v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
-                # a first division keeps squares in range
-                v = v / np.abs(v).max(1, keepdims=True)
-                units = v / np.sqrt((v * v).sum(1, keepdims=True))
-                cells = cell_keys(units, bits_, cosine)
-                for turn in range(cells.shape[1]):
-                    yield record({"label": column(chosen, "label"), "d": [d] * len(v), "turn": [turn] * len(v), "cell": cells[:, turn], "c": column(chosen, "c"), "size": column(chosen, "size"), "unit": list(units), "cells": list(cells)}, target)
-
-    dealt = prepared.select("label", "d", "bits", "c", "size", "v").mapInArrow(spread, schema.replace("label int", f"label {dict(vectors.dtypes)['label']}"))
-    cell = ["label", "d", "turn", "cell"]
-    blocks = dealt.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1").select(*cell, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("b1"), F.greatest(x, "block").alias("b2")))
-    tiles = dealt.withColumn("t", F.explode(pairs)).select(*cell, "t.b1", "t.b2", "block", "c", "size", "unit", "cells")
+            groups = list(zip(column(batch, "label").to_pylist(), column(batch, "d").to_pylist()))
+            # groups without pivots go together by dimension
+            keys = [g if g in shared.value else (None, g[1]) for g in groups]
+            at: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                at.setdefault(k, []).append(i)
+            for (_, d), rows_ in sorted(at.items(), key=lambda x: x[1]):
+                part = batch.take(pa.array(rows_))
+                units = unit_rows(column(part, "v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d))
+                row, cell, guest = cell_members(units, shared.value.get(keys[rows_[0]]), cosine)
+                for first in range(0, len(row), len(units)):
+                    some = slice(first, first + len(units))
+                    part_ = part.take(pa.array(row[some]))
+                    yield record({"label": column(part_, "label"), "d": [d] * part_.num_rows, "cell": cell[some], "guest": guest[some], "c": column(part_, "c"), "size": column(part_, "size"), "unit": list(units[row[some]])}, target)
+
+    dealt = prepared.select("label", "d", "c", "size", "v").mapInArrow(spread, schema)
+    cell = ["label", "d", "cell"]
+    counted = dealt.groupBy(*cell).agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests")).where("homes > 0 and homes + guests > 1")
+    blocks = counted.select(*cell, F.ceil(F.col("homes") / BLOCK).cast("int").alias("home_blocks"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("guest_blocks"))
+    own = F.when(F.col("guest"), F.col("home_blocks") + F.pmod(F.xxhash64("c"), F.col("guest_blocks"))).otherwise(F.pmod(F.xxhash64("c"), F.col("home_blocks"))).cast("int")
+    dealt = dealt.join(blocks, cell).withColumn("block", own)
+    # guests meet homes only: they meet each other at home
+    last = F.when(F.col("guest"), F.col("home_blocks")).otherwise(F.col("home_blocks") + F.col("guest_blocks")) - 1
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.least(x, "block").alias("b1"), F.greatest(x, "block").alias("b2")))
+    tiles = dealt.withColumn("t", F.explode(pairs)).select(*cell, "t.b1", "t.b2", "block", "c", "size", "unit")
 
     def links(key: tuple, table: pa.Table) -> pa.Table:
-        d, turn, b1, b2 = (key[k].as_py() for k in (1, 2, 4, 5))
+        d, b1, b2 = (key[k].as_py() for k in (1, 3, 4))
         block = table.column("block").to_numpy()
         matrix = lambda t: column(t, "unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         left = table.filter(pa.array(block == b1))
         right = left if b1 == b2 else table.filter(pa.array(block == b2))
-        keys = lambda t: np.array(column(t, "cells").to_pylist(), np.int64).reshape(t.num_rows, -1)
         n, m = left.num_rows, right.num_rows
         size_l, size_r = column(left, "size").to_numpy(), column(right, "size").to_numpy()
         add_l, add_r = np.zeros(n, np.int64), np.zeros(m, np.int64)
         shift = 0 if b1 == b2 else n
         label = np.arange(n + m - (m if b1 == b2 else 0))
-        for at, link in tile_links(matrix(left), matrix(right), keys(left), keys(right), turn, cosine, b1 == b2) if n and m else []:
+        for at, link in tile_links(matrix(left), matrix(right), cosine, b1 == b2) if n and m else []:
             add_l[at : at + len(link)] += link @ size_r
             add_r += size_l[at : at + len(link)] @ link
             i, j = np.nonzero(link)

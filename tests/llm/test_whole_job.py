@@ -1,8 +1,9 @@
 """Cases in which the corpus operators once did less than the whole job."""
 
+import numpy as np
 import pytest
 
-from kindred.llm import html_extract, pii, toxicity
+from kindred.llm import embed_dedup, html_extract, pii, toxicity
 
 
 # 2
@@ -49,3 +50,25 @@ def test_only_copies_are_left_out():
 
 def test_shouting_counts_over_the_whole_text():
     assert toxicity.pattern_votes("a " * 2500 + "B " * 5000)[0]
+
+
+# 10
+
+
+@pytest.mark.parametrize("d, spread", [(32, 1.0), (32, 0.3)])
+def test_large_labels_lose_no_link(spark, monkeypatch, d, spread):
+    """Pairs a little above the threshold, in groups around centres; the labels are far above ``CELL``."""
+    monkeypatch.setattr(embed_dedup, "CELL", 64)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 512)
+    r = np.random.default_rng(11)
+    base = r.normal(size=(20, d))[r.integers(0, 20, 2000)] + spread * r.normal(size=(2000, d))
+    side = r.normal(size=base.shape)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    v = np.concatenate((base, 0.9801 * base + np.sqrt(1 - 0.9801**2) * side))
+    df = spark.createDataFrame([(i, [float(x) for x in e], 0) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    got = {x["vec_id"]: x["n_links"] for x in embed_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(v))] == want.tolist()
