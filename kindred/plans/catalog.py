@@ -582,9 +582,9 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def i03_boosted_trees(spark, sf):
-    """Fit on all labelled pairs and score them; few rounds, as the query is a demonstration."""
+    """Fit on all labelled pairs and score them."""
     data = labelled(spark, sf)
-    model = M.fit_trees(data, list(P.COMPACT), maxIter=10, maxDepth=3)
+    model = M.fit_trees(data, list(P.COMPACT), **M.COMPACT_TREES)
     return M.probabilities(model, data).select("s1_id", "target_id", "label", r6(F.col("p")).alias("p"))
 
 
