@@ -9,13 +9,16 @@ sent back to a batch by its id.
 *Hash exchange.* A batch sends its sorted distinct hashes, cut by value into parts and delta-coded, so that a
 hash costs a few bytes instead of a row. The owner of a part sees every batch's hashes of that range and
 answers each batch with a bit or number per hash, in the order in which they came. A hash that a third of all
-documents share appears once per batch at most.
+documents share appears once per batch at most. One exchange cuts the hash space into 2**FAN_BITS parts at most;
+larger inputs merge the rows of some hundred batches and cut them again, so rows sent grow with the input only.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +30,87 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Estimated input bytes for each part of the hash space.
 PART_BYTES = 8 << 20
+#: Bits by which one exchange cuts the hash space.
+FAN_BITS = 8
+#: Narrow rows for each task of the rounds over links and labels.
+TASK_ROWS = 1 << 17
+#: Estimated bytes of a file of a written table, about.
+FILE_BYTES = 16 << 20
+#: Estimates from here on mean that Catalyst knows nothing.
+UNKNOWN_BYTES = 1 << 60
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs on one machine."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="kindred-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and go on from there."""
+def in_large(df: DataFrame, size: int | None) -> DataFrame:
+    """As many tasks as there are cores, or more where files would be large: small tables shouldn't be many files."""
+    return df if size is None else df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, size // FILE_BYTES + 1))
+
+
+def cut(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Materialise ``df``, of about ``size`` bytes, in the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return in_large(df, size).checkpoint(eager=True)
+
+
+@dataclass
+class Stored:
+    """A table written to the shared folder; whoever wrote it drops it when its successors are written."""
+
+    df: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, size: int | None = None) -> Stored:
+    """Write ``df``, of about ``size`` bytes, as Parquet to the shared checkpoint folder, so that later plans read only the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    in_large(df, size).write.option("parquet.block.size", FILE_BYTES).parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
 
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """Narrow rows in as few tasks as their number needs: every task of a shuffle writes files, however little it has."""
+    return df.coalesce(rows // TASK_ROWS + 1)
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; it runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def quoted(name: str) -> str:
+    """A column's name for ``select``, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def renamed(docs: DataFrame) -> DataFrame:
+    """``docs`` with plain names for all columns but ``doc_id`` and ``text``, as Arrow plans can't resolve some names."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"column{i}" for i, c in enumerate(docs.columns)])
+
+
+def plan_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's size estimate of ``df``, which runs no job; where it has none, the bytes of the texts and ids."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_BYTES:
+        return size
+    return int(df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 8), F.lit(0)).alias("n")).first()["n"])
 
 
 def part_bits(df: DataFrame) -> int:
     """The hash space is cut into 2**bits parts, in proportion to the input."""
-    return max(4, min(16, int(plan_bytes(df) // PART_BYTES).bit_length()))
+    return max(4, int(plan_bytes(df) // PART_BYTES).bit_length())
 
 
 # ---------------------------------------------------------------- batches
@@ -77,9 +136,14 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def pack(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
-    """Rows of ``(batch_id, payload)``, exchanged by ``batch_id``; plans that use the result twice share the exchange."""
+    """Rows of ``(batch_id, payload)``, exchanged by ``batch_id``; plans that use the result twice share the exchange.
+
+    The id follows from the batch's place and its content. Should a lost task be run again on rows in another order,
+    its batches have other ids, and ``received`` fails instead of taking the answers for other rows.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
@@ -87,7 +151,9 @@ def pack(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
             for piece in slices(batch, most):
                 # a slice keeps its parent's buffers; take copies just its rows
                 whole = pa.Table.from_batches([piece]).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_pydict({"batch_id": pa.array([number], pa.int64()), "payload": pa.array([to_bytes(whole)], pa.binary())})
+                payload = to_bytes(whole)
+                batch_id = xxhash.xxh3_64_intdigest(payload, seed=number) >> 1
+                yield pa.RecordBatch.from_pydict({"batch_id": pa.array([batch_id], pa.int64()), "payload": pa.array([payload], pa.binary())})
                 number += 1
 
     return df.mapInArrow(rows, "batch_id long, payload binary").repartition("batch_id")
@@ -116,7 +182,7 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    made = [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema]
+    made = [(c if c.type == f.type else c.cast(f.type)) if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema]
     return pa.RecordBatch.from_arrays(made, names=schema.names)
 
 
@@ -182,43 +248,97 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def part_cuts(values: np.ndarray, bits: int) -> np.ndarray:
-    """Where each part of the hash space begins and ends in sorted ``values``."""
+def part_cuts(values: np.ndarray, bits: int, done: int = 0) -> np.ndarray:
+    """Where each part begins and ends in sorted ``values``, by the ``bits`` bits after the first ``done``."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
+    return np.concatenate(([0], np.searchsorted(values << np.uint64(done), edges), [len(values)]))
 
 
-def send(batch_id: int, bits: int, hashes: np.ndarray, **payload: np.ndarray) -> Iterator[dict]:
-    """One row per part: sorted distinct ``hashes`` and, in the same order, what goes with them."""
-    cuts = part_cuts(hashes, bits)
+def pieces(batch_id: int, bits: int, done: int, before: int, hashes: np.ndarray, payload: dict[str, np.ndarray]) -> Iterator[dict]:
+    cuts = part_cuts(hashes, bits, done)
     for part in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[part], cuts[part + 1]
-        yield {"part": [int(part)], "batch_id": [batch_id], "hashes": [squeeze(hashes[a:b])]} | {k: [shrink(v[a:b])] for k, v in payload.items()}
+        yield {"part": [(before << bits) + int(part)], "batch_id": [batch_id], "hashes": [squeeze(hashes[a:b])]} | {k: [shrink(v[a:b])] for k, v in payload.items()}
 
 
-def resolve(sent: DataFrame, answer: Callable, **payload) -> DataFrame:
-    """Bring each part's rows together and answer every batch.
+def send(batch_id: int, bits: int, hashes: np.ndarray, **payload: np.ndarray) -> Iterator[dict]:
+    """One row per part: sorted distinct ``hashes`` and, in the same order, what goes with them.
 
-    ``answer(hashes, owner, **arrays)`` gets one part's hashes of all batches one after another with the index of
-    the batch each belongs to; it returns an array with an answer for each. Result: ``(batch_id, answers)``,
-    ``answers`` holding the parts in order.
+    Hashes should be uniform over 64 bits, as parts are ranges of them.
     """
+    return pieces(batch_id, min(bits, FAN_BITS), 0, 0, hashes, payload)
 
-    def one(table: pa.Table) -> pa.Table:
-        blocks = [unsqueeze(x) for x in column(table, "hashes").to_pylist()]
-        lengths = [len(x) for x in blocks]
-        more = {k: np.concatenate([grow(x, t) for x in column(table, k).to_pylist()]) for k, t in payload.items()}
-        got = answer(np.concatenate(blocks), np.repeat(np.arange(len(blocks)), lengths), **more)
+
+def unpacked(table: pa.Table, payload: dict) -> tuple[list[int], np.ndarray, dict[str, np.ndarray]]:
+    """Lengths, hashes and payloads of a group's rows, one after another."""
+    blocks = [unsqueeze(x) for x in column(table, "hashes").to_pylist()]
+    return [len(x) for x in blocks], np.concatenate(blocks), {k: np.concatenate([grow(x, t) for x in column(table, k).to_pylist()]) for k, t in payload.items()}
+
+
+def answered(sent: DataFrame, answer: Callable, bits: int, done: int, reply: type, payload: dict) -> DataFrame:
+    """``(batch_id, part, answers)`` for each row of ``sent``, whose parts are cut by the first ``done`` bits."""
+    schema = "batch_id long, part long, answers binary"
+
+    def replies(table: pa.Table, lengths: list[int], got: np.ndarray) -> pa.Table:
         parts = np.split(got, np.cumsum(lengths)[:-1])
         return pa.table({"batch_id": column(table, "batch_id"), "part": column(table, "part"), "answers": pa.array([shrink(x) for x in parts], pa.binary())})
 
-    answered = sent.groupBy("part").applyInArrow(one, "batch_id long, part int, answers binary")
-    return answered.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("part", "answers"))).alias("answers"))
+    if bits <= done:
+
+        def one(table: pa.Table) -> pa.Table:
+            lengths, hashes, more = unpacked(table, payload)
+            return replies(table, lengths, answer(hashes, np.repeat(np.arange(len(lengths)), lengths), **more))
+
+        return sent.groupBy("part").applyInArrow(one, schema)
+
+    # merge the rows of about 2**FAN_BITS batches and cut them further
+    more_bits = min(bits - done, FAN_BITS)
+    groups = max(1, 2 << (bits - done))
+    dealt = sent.withColumn("merged", F.shiftleft(F.col("part"), 24) + F.pmod(F.xxhash64("batch_id"), F.lit(groups)))
+    target = arrow_schema(sent.sparkSession, sent.schema)
+
+    def merge(table: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, dict]:
+        table = table.sort_by("batch_id")
+        lengths, hashes, more = unpacked(table, payload)
+        return table, lengths, hashes, np.argsort(hashes, kind="stable"), more
+
+    def again(key: tuple, table: pa.Table) -> pa.Table:
+        _, _, hashes, order, more = merge(table)
+        rows = pieces(key[0].as_py(), more_bits, done, table.column("part")[0].as_py(), hashes[order], {k: v[order] for k, v in more.items()})
+        return pa.Table.from_batches([record(x, target) for x in rows], target)
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        table, lengths, hashes, order, _ = merge(left)
+        got = received(column(right, "answers")[0].as_py() if right.num_rows else None, reply, len(hashes))
+        out = np.empty_like(got)
+        out[order] = got
+        return replies(table, lengths, out)
+
+    inner = collected(answered(dealt.groupBy("merged").applyInArrow(lambda k, t: again(k, t), sent.schema), answer, bits, done + more_bits, reply, payload))
+    return dealt.groupBy("merged").cogroup(inner.groupBy("batch_id")).applyInArrow(back, schema)
+
+
+def collected(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("part", "answers"))).alias("answers"))
+
+
+def resolve(sent: DataFrame, answer: Callable, bits: int, reply: type, **payload) -> DataFrame:
+    """Bring each part's rows together and answer every batch; ``bits`` as given to ``send``.
+
+    ``answer(hashes, owner, **arrays)`` gets one part's hashes of all senders one after another with the index of
+    the sender each belongs to; it returns an array of type ``reply`` with an answer for each. After a merge a sender stands for
+    several batches and can hold a hash once for each. Result: ``(batch_id, answers)``, ``answers`` holding the
+    parts in order.
+    """
+    return collected(answered(sent, answer, bits, min(bits, FAN_BITS), reply, payload))
 
 
-def received(answers: list[dict] | None, dtype) -> np.ndarray:
-    """The answers of all parts, in the order of the sorted hashes that were sent."""
-    return np.concatenate([grow(x["answers"], dtype) for x in answers]) if answers else np.empty(0, dtype)
+def received(answers: list[dict] | None, dtype, n: int) -> np.ndarray:
+    """The answers of all parts, in the order of the ``n`` sorted hashes that were sent."""
+    got = np.concatenate([grow(x["answers"], dtype) for x in answers]) if answers else np.empty(0, dtype)
+    if len(got) != n:
+        raise RuntimeError(f"{len(got)} answers for {n} hashes: a task that was run again saw its rows in another order")
+    return got
 
 
 def grouped(hashes: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,10 @@
 
 The first pass puts the hash of every line into a filter of hashes seen once and, when it is there already, into
 one of hashes seen twice. Filters of tasks are merged slice by slice. A line whose hash is not in the second
-filter occurs in one document only; the others go, as digests, to the owner of their part of the hash space,
+filter occurs in one document only, and a document without suspected lines is finished where it is read. The other
+documents are packed, and the digests of their suspected lines go to the owner of their part of the hash space,
 which confirms exact repeats and names the smallest document that holds each. False positives of the filters cost
-a digest's shuffle and change nothing.
+a shuffle and change nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.frames import arrow_schema, column, grouped, grow, map_batches, pack, part_bits, plan_bytes, raw_texts, received, record, resolve, send, shrink
+from kindred.llm.frames import arrow_schema, column, grouped, grow, map_batches, pack, part_bits, plan_bytes, raw_texts, received, record, renamed, resolve, send, shrink
 
 #: Shorter lines stay wherever they are.
 LEAST_CHARS = 10
@@ -94,12 +95,18 @@ def filters(docs: DataFrame, bits: int) -> np.ndarray:
     return np.concatenate([found.get(k, empty) for k in range(SLICES)])
 
 
-def suspects(docs: list, texts: list[bytes], twice: np.ndarray, bits: int):
-    """Distinct suspected digests of a batch, sorted; for each its smallest document and whether others have it."""
-    high, low, rows = digests(texts, docs)
+def suspected(high: np.ndarray, twice: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes the filter holds."""
     keep = np.ones(len(high), bool)
     for p in probes(high, bits):
         keep &= (twice[(p >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    return keep
+
+
+def suspects(docs: list, texts: list[bytes], twice: np.ndarray, bits: int):
+    """Distinct suspected digests of a batch, sorted; for each its smallest document and whether others have it."""
+    high, low, rows = digests(texts, docs)
+    keep = suspected(high, twice, bits)
     high, low, rows = high[keep], low[keep], rows[keep]
     owner = np.array([-1 if x is None else x for x in docs], np.int64)[rows] if len(rows) else rows
     order, starts = grouped(high, low)
@@ -118,11 +125,35 @@ def drop_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     per row. A null text is one empty line (it stays null among kept columns). Rows without a ``doc_id`` keep all
     their lines and are no one's first occurrence; rows that share a ``doc_id`` are one document.
     """
+    names, docs = docs.columns, renamed(docs)
     bits = max(16, min(MOST_BITS, int(plan_bytes(docs) * BITS_PER_LINE / BYTES_PER_LINE).bit_length()))
     pbits = max(4, part_bits(docs) - 3)
-    spark = docs.sparkSession
-    twice = spark.sparkContext.broadcast(filters(docs, bits))
-    packed = pack(docs if keep_columns else docs.select("doc_id", "text"))
+    twice = docs.sparkSession.sparkContext.broadcast(filters(docs, bits))
+    schema = docs.schema if keep_columns else "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+    source = docs if keep_columns else docs.select("doc_id", "text")
+    of_source, of_result = arrow_schema(docs.sparkSession, source.schema), arrow_schema(docs.sparkSession, schema)
+
+    def has_suspects(batch: pa.RecordBatch, texts: list[bytes]) -> np.ndarray:
+        high, _, rows = digests(texts, column(batch, "doc_id").to_pylist())
+        return np.bincount(rows[suspected(high, twice.value, bits)], minlength=batch.num_rows) > 0
+
+    def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = raw_texts(batch)
+            clean = np.flatnonzero(~has_suspects(batch, texts))
+            part = batch.take(pa.array(clean))
+            if keep_columns:
+                yield record({n: column(part, n) for n in part.schema.names}, of_result)
+            else:
+                whole = [texts[i] for i in clean]
+                yield record({"doc_id": column(part, "doc_id"), "n_lines": [t.count(b"\n") + 1 for t in whole], "n_dropped": [0] * len(whole), "kept_sha256": [hashlib.sha256(t).hexdigest() for t in whole]}, of_result)
+
+    def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(has_suspects(batch, raw_texts(batch))))
+            yield record({n: column(part, n) for n in part.schema.names}, of_source)
+
+    packed = pack(source.mapInArrow(others, source.schema))
 
     def ask(batch_id: int, table: pa.Table, _: dict) -> Iterator[dict]:
         high, low, smallest, several = suspects(column(table, "doc_id").to_pylist(), raw_texts(table), twice.value, bits)
@@ -137,16 +168,15 @@ def drop_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
         # the document that keeps the line; without repeats nobody loses it
         return np.where(repeated, smallest, np.iinfo(np.int64).max)[which]
 
-    asked = map_batches(packed, ask, "part int, batch_id long, hashes binary, low binary, doc binary, several binary")
-    answers = resolve(asked, answer, low=np.uint64, doc=np.int64, several=bool)
-    schema = docs.schema if keep_columns else "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+    asked = map_batches(packed, ask, "part long, batch_id long, hashes binary, low binary, doc binary, several binary")
+    answers = resolve(asked, answer, pbits, np.int64, low=np.uint64, doc=np.int64, several=bool)
 
     def finish(_: int, table: pa.Table, row: dict) -> Iterator[dict]:
         import xxhash
 
         ids, texts = column(table, "doc_id").to_pylist(), raw_texts(table)
         high, low, _s, _m = suspects(ids, texts, twice.value, bits)
-        keeper = dict(zip(zip(high.tolist(), low.tolist()), received(row["answers"], np.int64).tolist()))
+        keeper = dict(zip(zip(high.tolist(), low.tolist()), received(row["answers"], np.int64, len(high)).tolist()))
         keeper = {k: v for k, v in keeper.items() if v != np.iinfo(np.int64).max}
         lines_n, dropped_n, kept = [], [], []
         for doc, text in zip(ids, texts):
@@ -171,4 +201,5 @@ def drop_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
         else:
             yield {"doc_id": ids, "n_lines": lines_n, "n_dropped": dropped_n, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
 
-    return map_batches(packed.join(answers, "batch_id", "left"), finish, schema)
+    out = source.mapInArrow(finished, schema).union(map_batches(packed.join(answers, "batch_id", "left"), finish, schema))
+    return out.toDF(*names) if keep_columns else out

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.frames import column, grouped, map_batches, pack, part_bits, received, resolve, send, word_hashes
+from kindred.llm.frames import column, grouped, map_batches, pack, part_bits, received, renamed, resolve, send, word_hashes
 
 #: Kinds in the order in which spans at one place are listed; ``term`` is what the statistics add.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -163,12 +163,13 @@ def with_disclosures(docs: DataFrame, finish, schema, alpha: float = ALPHA, supp
     """Run ``finish(table, texts, told)`` over batches; ``told``: the terms that disclose each value."""
     packed = pack(docs)
     bits, total = part_bits(docs), docs.count()
+    few = max(4, bits - 4)
     payload = {"value": np.uint64, "of_value": np.int64, "n": np.int64}
-    columns = "part int, batch_id long, hashes binary"
+    columns = "part long, batch_id long, hashes binary"
 
     def ask_values(batch_id: int, table: pa.Table, _: dict) -> Iterator[dict]:
         keys, n = values_of(raw(table))
-        yield from send(batch_id, max(4, bits - 4), keys, n=n)
+        yield from send(batch_id, few, keys, n=n)
 
     def sums(hashes: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
         order, starts = grouped(hashes)
@@ -176,11 +177,12 @@ def with_disclosures(docs: DataFrame, finish, schema, alpha: float = ALPHA, supp
         out[order] = np.repeat(np.add.reduceat(n[order], starts), np.diff(np.append(starts, len(order))))
         return out
 
-    of_values = resolve(map_batches(packed, ask_values, columns + ", n binary"), sums, n=np.int64)
+    of_values = resolve(map_batches(packed, ask_values, columns + ", n binary"), sums, few, np.int64, n=np.int64)
 
     def asked(texts: list[bytes], row: dict) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         terms, n = term_counts(texts)
-        values, df = values_of(texts)[0], received(row["of_values"], np.int64)
+        values = values_of(texts)[0]
+        df = received(row["of_values"], np.int64, len(values))
         pair_term, pair_value, co = pairs_of(texts, set(values[df >= support].tolist()))
         hashes, value = np.concatenate((terms, pair_term)), np.concatenate((np.zeros(len(terms), np.uint64), pair_value))
         of_value = np.concatenate((np.zeros(len(terms), np.int64), df[np.searchsorted(values, pair_value)]))
@@ -192,14 +194,14 @@ def with_disclosures(docs: DataFrame, finish, schema, alpha: float = ALPHA, supp
         yield from send(batch_id, bits, hashes, **more)
 
     packed = packed.join(of_values.withColumnRenamed("answers", "of_values"), "batch_id", "left")
-    told = resolve(map_batches(packed, ask_terms, columns + ", value binary, of_value binary, n binary"), disclosing(total, alpha, support), **payload)
+    told = resolve(map_batches(packed, ask_terms, columns + ", value binary, of_value binary, n binary"), disclosing(total, alpha, support), bits, np.uint8, **payload)
 
     def last(_: int, table: pa.Table, row: dict) -> Iterator[dict]:
         texts = raw(table)
         pairs: dict[int, set[int]] = {}
         if row["of_values"]:
             hashes, more = asked(texts, row)
-            for i in np.flatnonzero((received(row["answers"], np.uint8) == 1) & (more["value"] != 0)):
+            for i in np.flatnonzero((received(row["answers"], np.uint8, len(hashes)) == 1) & (more["value"] != 0)):
                 pairs.setdefault(int(more["value"][i]), set()).add(int(hashes[i]))
         yield finish(table, texts, pairs)
 
@@ -267,4 +269,5 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> D
             new.append(sanitised(was, spans) if spans else was)
         return {n: column(table, n) for n in table.column_names} | {"text": new}
 
-    return with_disclosures(docs, finish, docs.schema, alpha, support)
+    names, docs = docs.columns, renamed(docs)
+    return with_disclosures(docs, finish, docs.schema, alpha, support).toDF(*names)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
-from kindred.llm.frames import column, gram_hashes, grouped, map_batches, pack, part_bits, raw_texts, received, resolve, send, word_hashes
+from kindred.llm.frames import column, gram_hashes, grouped, map_batches, mixed, pack, part_bits, raw_texts, received, renamed, resolve, send, word_hashes
 
 #: Words in the shortest repeat, and in an anchor.
 LENGTH = 13
@@ -26,9 +26,10 @@ ANCHOR = 5
 
 
 def anchors_of(words: np.ndarray, length: int, anchor: int) -> np.ndarray:
-    """For each window of ``length`` words the smallest hash among its runs of ``anchor`` words."""
-    grams = gram_hashes(words, anchor)
-    return sliding_window_view(grams, length - anchor + 1).min(1) if len(words) >= length else np.empty(0, np.uint64)
+    """For each window of ``length`` words the smallest hash among its runs of ``anchor`` words, made uniform again."""
+    if len(words) < length:
+        return np.empty(0, np.uint64)
+    return mixed(~sliding_window_view(gram_hashes(words, anchor), length - anchor + 1).min(1))
 
 
 class Windows:
@@ -92,6 +93,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ke
     space as ``text`` (untouched where nothing goes). Null and empty texts have no words. A row without a
     ``doc_id`` keeps its words and is no one's first occurrence; rows that share an id don't remove each other's.
     """
+    names, docs = docs.columns, renamed(docs)
     bits = part_bits(docs)
     packed = pack(docs if keep_columns else docs.select("doc_id", "text"))
 
@@ -106,13 +108,12 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ke
         order, starts = grouped(hashes)
         sizes = np.diff(np.append(starts, len(order)))
         out = np.zeros(len(order), bool)
-        # a batch sends an anchor once
         out[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(shared[order], starts), sizes)
         return out
 
     def seeded(w: Windows, row: dict) -> np.ndarray:
-        *_, which = seeds(w)
-        return received(row["seeds"], bool)[which]
+        distinct, _, which = seeds(w)
+        return received(row["seeds"], bool, len(distinct))[which]
 
     def ask_windows(batch_id: int, table: pa.Table, row: dict) -> Iterator[dict]:
         w = windows(table)
@@ -127,15 +128,15 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ke
         # a batch needs to know only whether a smaller document lies elsewhere
         return out < doc
 
-    answers = resolve(map_batches(packed, ask_seeds, "part int, batch_id long, hashes binary, shared binary"), repeated_seeds, shared=bool).withColumnRenamed("answers", "seeds")
-    asked = map_batches(packed.join(answers, "batch_id", "left"), ask_windows, "part int, batch_id long, hashes binary, low binary, doc binary")
-    least = resolve(asked, smallest_docs, low=np.uint32, doc=np.int64)
+    answers = resolve(map_batches(packed, ask_seeds, "part long, batch_id long, hashes binary, shared binary"), repeated_seeds, bits, bool, shared=bool).withColumnRenamed("answers", "seeds")
+    asked = map_batches(packed.join(answers, "batch_id", "left"), ask_windows, "part long, batch_id long, hashes binary, low binary, doc binary")
+    least = resolve(asked, smallest_docs, bits, bool, low=np.uint32, doc=np.int64)
     schema = docs.schema if keep_columns else "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     def finish(_: int, table: pa.Table, row: dict) -> Iterator[dict]:
         w = windows(table)
         at, order, starts, _high, _low, smallest = extended(w, seeded(w, row))
-        elsewhere = received(row["answers"], bool)
+        elsewhere = received(row["answers"], bool, len(starts))
         repeated = np.zeros(len(w.doc), bool)
         sizes = np.diff(np.append(starts, len(order)))
         repeated[at[order]] = np.repeat(elsewhere, sizes) | (np.repeat(smallest, sizes) < w.doc[at[order]])
@@ -154,4 +155,5 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, ke
             }
 
     joined = packed.join(answers, "batch_id", "left").join(least, "batch_id", "left")
-    return map_batches(joined, finish, schema)
+    out = map_batches(joined, finish, schema)
+    return out.toDF(*names) if keep_columns else out
