@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -66,22 +69,41 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class AddedTokens:
+    """An encoder that gives the added tokens inside a text their own ids, as the tokenizers library does."""
+
+    def __init__(self, encoder: TextEncoder, added: dict[str, int]):
+        self.encoder, self.added = encoder, added
+        self._split = re.compile("|".join(f"({re.escape(x)})" for x in sorted(added, key=len, reverse=True)) or r"(?!)").split
+
+    def ids(self, text: str) -> bytes:
+        if not any(x in text for x in self.added):
+            return self.encoder.ids(text)
+        return b"".join(struct.pack("<I", self.added[x]) if x in self.added else self.encoder.ids(x) for x in self._split(text) if x)
+
+
 @lru_cache(2)
-def tokenizer(path: str, pattern: str) -> TextEncoder:
-    """The byte-level vocabulary of a tokenizers file as an encoder of whole texts; special tokens are plain text."""
+def tokenizer(path: str, pattern: str) -> AddedTokens:
+    """The byte-level vocabulary of a tokenizers file as an encoder of whole texts."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+    if any(x.get(k) for x in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take white space or need word boundaries aren't supported")
     alphabet = byte_alphabet()
     ranks = {bytes(map(alphabet.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
     plain = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return TextEncoder(pattern, lambda piece: plain._core_bpe.encode_single_piece(piece))
+    return AddedTokens(TextEncoder(pattern, lambda piece: plain._core_bpe.encode_single_piece(piece)), special)
 
 
 def pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id: int | None, capacity: int) -> DataFrame:
-    """Every document's pieces with their lengths and checksums, and 64 random bits that follow from the document."""
+    """Every document's pieces with their lengths and checksums, and 63 random bits that follow from the document.
+
+    The k-th of equal rows in a partition has bits of its own, in whatever order they come, so that repeated rows
+    spread over the groups.
+    """
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, dice long"
     target = arrow_schema(docs.sparkSession, schema)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -90,12 +112,15 @@ def pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_i
         import xxhash
 
         ids_of = encoder()
+        often: Counter[int] = Counter()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
                 ids = ids_of(text or "") + end
                 n = len(ids) // 4
-                dice = xxhash.xxh3_64_intdigest(f"{doc_id}:{n}".encode()) >> 1
+                row = xxhash.xxh3_64_intdigest(f"{doc_id}:{n}:{zlib.crc32(ids)}".encode())
+                dice = xxhash.xxh3_64_intdigest(struct.pack("<QQ", row, often[row])) >> 1
+                often[row] += 1
                 out += [(doc_id, a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)]), n, dice) for a in range(0, n, capacity)]
             yield record(dict(zip(target.names, map(list, zip(*out)) if out else [[] for _ in target.names])), target)
 
