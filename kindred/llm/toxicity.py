@@ -1,9 +1,11 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior.
 
-Voters are words and word beginnings that the labelled rows tie to toxicity, and patterns of spelling. The label
-model estimates each voter's rates under both classes by expectation-maximisation, with the given label as one
-more voter of unknown accuracy, and discounts voters that stay correlated within a class. A logistic model over
-words and word beginnings learns the posterior labels and scores every text.
+Voters are words and word beginnings that the labelled rows propose, and patterns of spelling. The label model sees
+their votes only, over labelled and as many unlabelled rows. By expectation-maximisation it estimates each voter's
+rates under both classes, and for each voter the one other voter that it depends on most within the classes (a
+tree of largest conditional mutual information) with the rates given that one's vote; so voters that repeat each
+other count once. The labels only say where the classes start. A logistic model over words and word beginnings
+learns the posterior of the labelled rows and scores every text.
 """
 
 from __future__ import annotations
@@ -11,19 +13,21 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kindred.llm.frames import arrow_schema, column, record
+from kindred.llm.frames import arrow_schema, column, record, renamed
 
-#: Labelled rows to learn from, at most; the ones with the smallest hash of their id.
+#: Labelled rows to learn from, at most, the ones with the smallest hash of their id; and as many unlabelled ones.
 SAMPLE = 12_000
+#: Bits of mutual information (in nats) from which on a voter depends on another.
+DEPENDENT = 2e-4
 LEXICON = 256
 #: Standard errors of the bound on the share of toxic rows among those with a feature.
 Z = 2.5
@@ -51,43 +55,77 @@ def pattern_votes(text: str) -> list[bool]:
 
 @dataclass
 class LabelModel:
-    """Rates of each binary voter under both classes, a prior, and each voter's discount for correlation."""
+    """A prior, and the rate of each binary voter under both classes, given the vote of the voter it depends on.
 
-    prior: float = 0.5
-    rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
-    discount: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ``parent`` is that voter, -1 for none; ``rates[y, w, i]`` is the share of votes of voter i in class y where its
+    parent votes w (0 without a parent).
+    """
+
+    prior: float
+    parent: np.ndarray
+    rates: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes = np.log(self.rates[1] / self.rates[0]) * self.discount
-        no = np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.discount
-        z = votes @ (yes - no) + no.sum() + math.log(self.prior / (1 - self.prior))
+        given = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        z = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
+        yes, no = np.log(self.rates), np.log1p(-self.rates)
+        for sign, y in ((1, 1), (-1, 0)):
+            alone, step = votes @ (yes[y, 0] - no[y, 0]) + no[y, 0].sum(), yes[y, 1] - no[y, 1] - yes[y, 0] + no[y, 0]
+            z += sign * (alone + (votes * given) @ step + given @ (no[y, 1] - no[y, 0]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = 20, wrong: float = 0.05) -> LabelModel:
-        """Expectation-maximisation from the posterior ``start``.
+    def estimate(cls, votes: np.ndarray, p: np.ndarray, parent: np.ndarray) -> LabelModel:
+        """The model of largest likelihood if ``p`` is each row's share of class 1, smoothed by half a row."""
+        given = np.where(parent >= 0, votes[:, parent], 0)
+        rates = np.empty((2, 2, votes.shape[1]))
+        for y, q in enumerate((1 - p, p)):
+            total, both, of_parent = q @ votes, q @ (votes * given), q @ given
+            overall = (total + 0.5) / (q.sum() + 1)
+            rates[y, 1] = (both + overall) / (of_parent + 1)
+            rates[y, 0] = (total - both + overall) / (q.sum() - of_parent + 1)
+        return cls(float(np.clip(p.mean(), 1e-4, 1 - 1e-4)), parent, np.clip(rates, 1e-5, 1 - 1e-5))
+
+    @staticmethod
+    def dependences(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Each voter's parent in the forest of largest mutual information within the classes."""
+        m, n = votes.shape[1], len(votes)
+        shared = np.zeros((m, m))
+        for q in (1 - p, p):
+            size = q.sum() + 1
+            both = (votes * q[:, None]).T @ votes + 0.25
+            one = q @ votes + 0.5
+            for cell, i, j in ((both, one, one), (one[:, None] - both + 0.5, one, size - one), (one[None, :] - both + 0.5, size - one, one), (size - one[:, None] - one[None, :] + both, size - one, size - one)):
+                cell = np.maximum(cell, 1e-3)
+                shared += cell / n * np.log(cell * size / np.outer(i, j))
+        np.fill_diagonal(shared, 0)
+        parent, inside, best, at = np.full(m, -1), np.zeros(m, bool), np.full(m, -np.inf), np.full(m, -1)
+        for _ in range(m):
+            k = int(np.where(inside, -np.inf, best).argmax())
+            k = k if best[k] > -np.inf and not inside[k] else int(np.flatnonzero(~inside)[0])
+            inside[k] = True
+            parent[k] = at[k] if best[k] >= DEPENDENT else -1
+            closer = ~inside & (shared[k] > best)
+            best[closer], at[closer] = shared[k][closer], k
+        return parent
 
-        The last voter is the given label; it errs in a share ``wrong`` of the rows at most and keeps its full
-        weight, which ties the classes to it.
-        """
-        p, model = start.astype(float), cls()
+    @classmethod
+    def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
+        """Expectation-maximisation from the shares ``start`` of class 1; NaN for rows of which nothing is known."""
         x = votes.astype(float)
-        for _ in range(rounds):
-            weight = np.stack((1 - p, p))
-            rates = np.clip((weight @ x + 0.5) / (weight.sum(1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
-            rates[0, -1], rates[1, -1] = min(rates[0, -1], wrong), max(rates[1, -1], 1 - wrong)
-            # what voters still share once the class is known
-            rest = x - np.outer(1 - p, rates[0]) - np.outer(p, rates[1])
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            shared = np.abs(rest.T @ rest) / len(x) / np.outer(scale, scale)
-            np.fill_diagonal(shared, 0)
-            shared[shared < 0.2] = 0
-            model = cls(float(np.clip(p.mean(), 1e-4, 1 - 1e-4)), rates, 1 / (1 + shared.sum(0)))
-            model.discount[-1] = 1
-            new = model.posterior(x)
-            if np.abs(new - p).max() < 1e-4:
-                break
-            p = new
+        known = ~np.isnan(start)
+        alone = np.full(x.shape[1], -1)
+        model = cls.estimate(x[known], start[known], alone)
+        p = model.posterior(x)
+        for parent in (alone, None):
+            parent = cls.dependences(x, p) if parent is None else parent
+            for _ in range(rounds):
+                model = cls.estimate(x, p, parent)
+                new = model.posterior(x)
+                moved = np.abs(new - p).max()
+                p = new
+                if moved < 1e-4:
+                    break
         return model
 
 
@@ -145,16 +183,12 @@ def least_share(a: int, b: int) -> float:
     return (a + z2 / 2 - Z * math.sqrt(a * b / n + z2 / 4)) / (n + z2)
 
 
-def learn(rows: list[tuple[bytes, bytes, int]]) -> Classifier | None:
-    """From ``(distinct words, pattern votes, label)`` of each row; None without rows of both labels.
+def voters(kept: list[tuple[bytes, bytes, int]]) -> dict[bytes, float]:
+    """Features, each with a lower bound over one half of the share of toxic rows among those that have it.
 
     Features are counted text by text, first over the toxic rows and then, for those that can still become voters,
     over the others; memory follows the packed texts.
     """
-    kept = one_of_each(rows)
-    y = np.array([label for *_, label in kept])
-    if not len(y) or y.min() == y.max():
-        return None
     # fewer than this many toxic rows can't bring the bound above one half
     least = next(a for a in range(1, 1000) if least_share(a, 0) > 0.5)
     toxic: dict[bytes, int] = {}
@@ -170,22 +204,41 @@ def learn(rows: list[tuple[bytes, bytes, int]]) -> Classifier | None:
         if not label:
             clean.update({f for w in words.split() for f in features_of(w) if f in toxic})
     sure = {f: least_share(toxic[f], clean[f]) for f in sorted(toxic)}
-    known = {f: i for i, f in enumerate(f for f, s in sure.items() if s > 0.5)}
-    own = [Counter(f for w in words.split() for f in features_of(w) if f in known) for words, _, _ in kept]
-    lexicon = sorted(known, key=lambda f: (-sure[f], f))[:LEXICON]
+    return {f: s for f, s in sure.items() if s > 0.5}
+
+
+def vote_matrix(own: list[Iterable[bytes]], patterns: list[bytes], lexicon: list[bytes]) -> np.ndarray:
+    """A row of votes for each text: its words of the lexicon, whether it has one and three of them, its patterns."""
     chosen = {f: j for j, f in enumerate(lexicon)}
-    votes = np.zeros((len(y), len(lexicon)), np.float32)
+    votes = np.zeros((len(own), len(lexicon)), np.float32)
     for r, fs in enumerate(own):
-        for f in fs.keys() & chosen.keys():
-            votes[r, chosen[f]] = 1
-    # a word and its beginnings often vote as one
-    votes = np.unique(votes, axis=1) if votes.shape[1] else votes
+        votes[r, [chosen[f] for f in fs if f in chosen]] = 1
     hits = votes.sum(1)
-    patterns = np.array([[v == 49 for v in p] for _, p, _ in kept], np.float32)
-    votes = np.column_stack((votes, patterns, hits >= 1, hits >= 3, y))
-    posterior = LabelModel.fit(votes, np.where(y == 1, 0.95, 0.05)).posterior(votes)
+    spelling = np.array([[v == 49 for v in p] for p in patterns], np.float32).reshape(len(own), -1)
+    return np.column_stack((votes, spelling, hits >= 1, hits >= 3)).astype(np.float32)
+
+
+def learn(rows: list[tuple[bytes, bytes, int]], unlabelled: Callable[[list[bytes]], list[tuple[list[bytes], bytes]]] | None = None) -> Classifier | None:
+    """From ``(distinct words, pattern votes, label)`` of each row; None without rows of both labels.
+
+    ``unlabelled`` gets the lexicon and returns what each of the unlabelled texts has of it, and its pattern votes.
+    """
+    kept = one_of_each(rows)
+    y = np.array([label for *_, label in kept])
+    if not len(y) or y.min() == y.max():
+        return None
+    sure = voters(kept)
+    known = {f: i for i, f in enumerate(sure)}
+    lexicon = sorted(known, key=lambda f: (-sure[f], f))[:LEXICON]
+    own = [Counter(f for w in words.split() for f in features_of(w) if f in known) for words, _, _ in kept]
+    more = unlabelled(lexicon) if unlabelled and lexicon else []
+    votes = vote_matrix([*own, *(fs for fs, _ in more)], [*(p for _, p, _ in kept), *(p for _, p in more)], lexicon)
+    start = np.concatenate((np.where(y == 1, 0.95, 0.05), np.full(len(more), np.nan)))
+    # a word and its beginnings often vote as one
+    votes = np.unique(votes, axis=1)
+    posterior = LabelModel.fit(votes, start).posterior(votes[: len(y)].astype(float))
     if not known:
-        return Classifier({}, math.log(posterior.mean() / (1 - posterior.mean())))
+        return Classifier({}, math.log(y.mean() / (1 - y.mean())))
     columns = [np.array([known[f] for f, n in fs.items() for _ in range(min(n, 3))], np.int64) for fs in own]
     w, bias = fit_logistic(columns, len(known), posterior)
     return Classifier({f: float(w[i]) for f, i in known.items() if abs(w[i]) > 1e-3}, float(bias))
@@ -196,10 +249,21 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``sample`` rows outside the held-out fold. The ids go out by broadcast: they are bounded."""
+def spelled(text: str | None) -> str:
+    return "".join("01"[v] for v in pattern_votes(text or ""))
+
+
+def learnable(ids: Column) -> Column:
+    return ids.isNotNull() & (F.crc32(ids.cast("string").cast("binary")) % 5 != 0)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[bytes, bytes, int]]:
+    """Words, pattern votes and labels of at most ``sample`` rows outside the held-out fold.
+
+    The ids go out by broadcast: they are bounded.
+    """
     chosen = (
-        labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+        labels.where(F.col("toxic").isin(0, 1) & learnable(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -211,66 +275,94 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text").to_pylist()
-            packed = [" ".join(sorted(w.decode("utf-8", "replace") for w in words_of(t or ""))) + "\0" + "".join("01"[v] for v in pattern_votes(t or "")) for t in texts]
+            packed = [" ".join(sorted(w.decode("utf-8", "replace") for w in words_of(t or ""))) + "\0" + spelled(t) for t in texts]
             yield record({"packed": packed, "label": column(batch, "label")}, target)
 
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(rows, schema)
     # copies of a document can share an id; the bound holds for rows as well
-    return [(r["packed"], r["label"]) for r in got.orderBy(F.xxhash64("packed"), "packed", "label").limit(sample).collect()]
+    first = got.orderBy(F.xxhash64("packed"), "packed", "label").limit(sample)
+    return [(*r["packed"].encode().split(b"\0"), r["label"]) for r in first.collect()]
+
+
+def unlabelled_votes(docs: DataFrame, labels: DataFrame, sample: int, lexicon: list[bytes]) -> list[tuple[list[bytes], bytes]]:
+    """What at most ``sample`` texts without a label, outside the held-out fold, have of the lexicon, and their patterns."""
+    ids = docs.select("doc_id").where(learnable(F.col("doc_id"))).distinct().join(labels.select("doc_id"), "doc_id", "left_anti")
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    schema = "hits array<int>, patterns string"
+    target = arrow_schema(docs.sparkSession, schema)
+    place = {f: j for j, f in enumerate(lexicon)}
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column(batch, "text").to_pylist()
+            hits = [sorted({place[f] for w in words_of(t or "") for f in features_of(w) if f in place}) for t in texts]
+            yield record({"hits": hits, "patterns": list(map(spelled, texts))}, target)
+
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(rows, schema)
+    first = got.orderBy(F.xxhash64("hits", "patterns"), "hits", "patterns").limit(sample)
+    return [([lexicon[j] for j in r["hits"]], r["patterns"].encode()) for r in first.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    parts = [(*packed.encode().split(b"\0"), label) for packed, label in training_rows(docs, labels, sample)]
-    return learn(parts)
+    """Learn from ``sample`` labelled and as many unlabelled rows, at most."""
+    return learn(training_rows(docs, labels, sample), lambda lexicon: unlabelled_votes(docs, labels, sample, lexicon))
+
+
+#: Words whose weights a task keeps.
+MOST_WORDS = 1 << 17
 
 
-def score(docs: DataFrame, model: Classifier | None, keep_columns: bool = False) -> DataFrame:
-    """Add a score to each row, or return ``(doc_id, held_out, score, predicted)``. Without a model every score is 0.
+def scored(docs: DataFrame, model: Classifier | None, finish: Callable[[pa.RecordBatch, list[float]], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """Score the texts of each batch and let ``finish`` make rows of it. Without a model every score is 0.
 
     Null and empty texts get the score of a text without words.
     """
-    chosen = docs if keep_columns else docs.select("doc_id", "text")
-    added = StructType.fromDDL("score double, predicted int").fields
-    schema = StructType([*(docs.schema if keep_columns else StructType.fromDDL("doc_id long, held_out boolean")).fields, *added])
-    target = arrow_schema(docs.sparkSession, schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     class Weights(dict):
         def __missing__(self, word: bytes) -> float:
             got = shared.value.word_weight(word)
-            if len(self) < 500_000:
+            if len(self) < MOST_WORDS:
                 self[word] = got
             return got
 
+    def score(text: str | None, weights: Weights) -> float:
+        z = math.fsum(map(weights.__getitem__, words_of(text or ""))) + shared.value.bias
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights()
         for batch in batches:
-            scores = []
-            for text in column(batch, "text").to_pylist():
-                if shared.value is None:
-                    scores.append(0.0)
-                else:
-                    z = math.fsum(map(weights.__getitem__, words_of(text or ""))) + shared.value.bias
-                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            more = {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
-            if keep_columns:
-                yield record({n: column(batch, n) for n in batch.schema.names} | more, target)
-            else:
-                ids = column(batch, "doc_id")
-                yield record({"doc_id": ids, "held_out": [held_out(i) for i in ids.to_pylist()]} | more, target)
-
-    return chosen.mapInArrow(rows, schema)
+            texts = column(batch, "text").to_pylist()
+            yield finish(batch, [0.0 if shared.value is None else score(t, weights) for t in texts])
+
+    return docs.mapInArrow(rows, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Score every whole text of ``docs``; learn from ``labels`` outside the held-out fold.
+    """``(doc_id, held_out, score, predicted)`` for every whole text of ``docs``; learns outside the held-out fold.
 
     Labels that are null or neither 0 nor 1 teach nothing; of repeated labels of a document the larger holds.
+    Without rows of both labels every score is 0. Null and empty texts get the score of a text without words.
+    Rows keep their number; a null ``doc_id`` counts as an empty one for the fold. Other columns are not read.
     """
-    return score(docs, fit(docs, labels, sample))
+    schema = "doc_id long, held_out boolean, score double, predicted int"
+    target = arrow_schema(docs.sparkSession, schema)
+
+    def finish(batch: pa.RecordBatch, scores: list[float]) -> pa.RecordBatch:
+        ids = column(batch, "doc_id")
+        return record({"doc_id": ids, "held_out": list(map(held_out, ids.to_pylist())), "score": scores, "predicted": [int(s >= 0.5) for s in scores]}, target)
+
+    return scored(docs.select("doc_id", "text"), fit(docs, labels, sample), finish, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns."""
-    kept = score(docs, fit(docs, labels, sample), keep_columns=True)
-    return kept.where("predicted = 0").select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, with their columns whatever their names; see ``classify``."""
+    names, docs = docs.columns, renamed(docs)
+    target = arrow_schema(docs.sparkSession, docs.schema)
+
+    def finish(batch: pa.RecordBatch, scores: list[float]) -> pa.RecordBatch:
+        kept = batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+        return record({n: column(kept, n) for n in kept.schema.names}, target)
+
+    return scored(docs, fit(docs, labels, sample), finish, docs.schema).toDF(*names)
