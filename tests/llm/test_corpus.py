@@ -198,7 +198,7 @@ def test_components(spark):
 def test_large_keys_go_through_tiles(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "LARGE_KEY", 1)
     monkeypatch.setattr(jaccard, "CELL", 100)
-    monkeypatch.setattr(jaccard, "MIN_HASH_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
     same_as_sql(jaccard.near_duplicates(docs), oracles.JACCARD_JOIN, documents=text_rows())
 
 
