@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 #: Words that compact tokens leave out.
 STOPWORDS = (
     "inc corp corporation llc ltd limited pvt private co company and the of in at road rd street st avenue ave lane ln drive dr nagar colony floor near opp opposite "
@@ -85,3 +88,19 @@ def load_dictionaries(path: str, defaults: dict = ABBREVIATIONS, section: str =
         if isinstance(data, dict) and section in data:
             found[file.stem] = data[section]
     return {"global": defaults["global"]} | found
+
+
+@contextmanager
+def using(path: str) -> Iterator[None]:
+    """Names and addresses parsed by expressions made inside take suffixes and abbreviations from a folder's files."""
+    was = dict(ABBREVIATIONS), dict(LEGAL_SUFFIXES)
+    now = load_dictionaries(path), load_dictionaries(path, LEGAL_SUFFIXES, "legal_suffixes")
+    try:
+        for table, values in zip((ABBREVIATIONS, LEGAL_SUFFIXES), now):
+            table.clear()
+            table.update(values)
+        yield
+    finally:
+        for table, values in zip((ABBREVIATIONS, LEGAL_SUFFIXES), was):
+            table.clear()
+            table.update(values)

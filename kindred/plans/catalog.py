@@ -6,6 +6,7 @@ as name, its url as address and its language as country; its id deals it to one
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,6 @@ from kindred.sources import tsv
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Posting cutoff that the SQL still holds; the queries run with the operators' own (``B.MAX_POSTING``).
-MOST = 50
 
 
 def query(sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
@@ -85,7 +84,7 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-REC, INDEX, TRUTH, SCORED, WON = S.RECORDS, S.index(MOST), S.TRUTH, S.SCORED, S.WON
+REC, INDEX, TRUTH, SCORED, WON = S.RECORDS, S.index(B.MAX_POSTING), S.TRUTH, S.SCORED, S.WON
 
 # ---------------------------------------------------------------- A: sources and sinks
 
@@ -437,7 +436,7 @@ def def_matching_features(spark, sf):
 # ---------------------------------------------------------------- H: blocking
 
 
-@query("select s1_id, target_id, score, cand_rank from top", REC, S.index(MOST, alpha=0.3))
+@query("select s1_id, target_id, score, cand_rank from top", REC, S.index(B.MAX_POSTING, alpha=0.3))
 def h08_top_k(spark, sf):
     return indexed(spark, sf, alpha=None).select("s1_id", "target_id", "score", "cand_rank")
 
@@ -538,7 +537,7 @@ def block_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select distinct a.eid as s1_id, b.eid as target_id from kx a join kx b on a.key = b.key and a.source = 'S1' and b.source <> 'S1' where a.key in (select key from kx where source <> 'S1' group by key having count(*) <= 20)",
+    "select distinct a.eid as s1_id, b.eid as target_id from kx a join kx b on a.key = b.key and a.source = 'S1' and b.source <> 'S1' where a.key <> '' and a.key in (select key from kx where source <> 'S1' group by key having count(*) <= 500)",
     REC, KEYS, "kx as (select eid, source, unnest(keys) as key from ky)",
 )
 def h20_key_blocks(spark, sf):
@@ -588,6 +587,25 @@ def i03_boosted_trees(spark, sf):
     return M.probabilities(model, data).select("s1_id", "target_id", "label", r6(F.col("p")).alias("p"))
 
 
+@query()
+def i04_default_trees(spark, sf):
+    """The full feature set's parameters, on the compact features."""
+    data = labelled(spark, sf)
+    model = M.fit_trees(data, list(P.COMPACT))
+    return M.probabilities(model, data).select("s1_id", "target_id", "label", r6(F.col("p")).alias("p"))
+
+
+@query("select 0.0::double as largest_difference, count(*) as n_rows from cf", REC, INDEX, SIDE, COMPACT)
+def i12_portable_scores(spark, sf):
+    """Trees fitted, written as JSON, read again and scored natively and in batches; a few rounds, as native plans grow with each tree."""
+    data = labelled(spark, sf)
+    model = M.fit_trees(data, list(P.COMPACT), maxIter=8, maxDepth=4)
+    again = json.loads(json.dumps(M.export_ensemble(model, model.features, 0.5)))
+    x = F.array(*[F.col(c) for c in P.COMPACT])
+    both = M.probabilities(model, data).select("p", M.sigmoid(M.raw_score(again, x)).alias("q"))
+    return M.largest_difference(both, "p", "q")
+
+
 BUCKETS = "bk as (select least(floor(ln(d.n_chars + 1) * 4), 60)::double as x, avg(quality)::double as y, count(*)::double as w from documents d join labels l using (doc_id) where quality is not null group by 1)"
 ISOTONIC = """ord as (select row_number() over (order by x) as i, * from bk),
 seg as (select a.i as lo, b.i as hi, (select sum(y * w) / sum(w) from ord where i between a.i and b.i) as m from ord a join ord b on b.i >= a.i),

@@ -9,7 +9,6 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +43,14 @@ class Linkage:
     """A fitted run: the model, the points of its calibration, and the threshold."""
 
     config: LinkageConfig
-    model: PipelineModel
+    model: M.Trees
     points: list[tuple[float, float]] | None
     threshold: float
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        Path(path).mkdir(parents=True, exist_ok=True)
+        exported = M.export_ensemble(self.model, self.model.features, self.threshold) | {"features": self.model.features}
+        Path(path, "model_parameters.json").write_text(json.dumps(exported), encoding="utf-8")
         side = {"threshold": self.threshold, "points": self.points, "features": self.config.features, "top_k": self.config.top_k}
         Path(path, "metadata.json").write_text(json.dumps(side), encoding="utf-8")
 
@@ -58,7 +59,8 @@ class Linkage:
         if not Path(path, "metadata.json").exists():
             raise FileNotFoundError(f"no model in {path}")
         side = json.loads(Path(path, "metadata.json").read_text(encoding="utf-8"))
-        return cls(config, PipelineModel.load(f"{path}/model"), side["points"], side["threshold"])
+        ensemble = M.load_ensemble(Path(path, "model_parameters.json"))
+        return cls(config, M.Trees(ensemble["features"], ensemble), side["points"], side["threshold"])
 
 
 def candidates(s1: DataFrame, targets: DataFrame, config: LinkageConfig, prune: bool = True) -> DataFrame:

@@ -38,6 +38,12 @@ def split_pair_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("value") != "").select(F.trim(F.get(parts, 0)).alias("s1_id"), F.trim(F.coalesce(F.get(parts, 1), F.lit(""))).alias("target_ids"))
 
 
+def read_submission(spark: SparkSession, path: str) -> DataFrame:
+    """``(s1_id, target_ids)`` of a submission's file or folder of files, without their headers."""
+    read = spark.read.csv(path, schema="s1_id string, target_ids string", sep="\t", header=True, quote="", nullValue="\0", emptyValue="")
+    return read.select(F.trim(F.coalesce("s1_id", F.lit(""))).alias("s1_id"), F.trim(F.coalesce("target_ids", F.lit(""))).alias("target_ids"))
+
+
 def id_list(ids: Column) -> Column:
     """A comma list as an array of trimmed, non-empty ids."""
     return F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

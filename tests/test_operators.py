@@ -209,3 +209,36 @@ def test_isotonic(spark):
     asked = spark.createDataFrame([(0.0,), (0.15,), (0.4,), (2.0,)], "p double")
     assert [r[0] for r in asked.select(M.calibrated(F.col("p"), points)).collect()] == pytest.approx([0, 0.25, 0.75, 1])
     assert [r["prediction"] for r in model.transform(asked).collect()] == pytest.approx([0, 0.25, 0.75, 1])
+
+
+def test_boosting_fits_and_bounds(spark):
+    """Trees of the full parameters separate two moons' worth of rows, mind missing values, and keep leaves large enough."""
+    import numpy as np
+
+    from kindred.operators import boosting
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(3000, 4))
+    x[r.random(x.shape) < 0.1] = np.nan
+    y = ((np.nan_to_num(x[:, 0]) ** 2 + np.nan_to_num(x[:, 1]) > 1) ^ np.isnan(x[:, 2])).astype(float)
+    for params, least in ((M.FULL_TREES, 0.93), (M.FULL_TREES | M.COMPACT_TREES, 0.93)):
+        s = boosting.Settings(params["maxIter"] // 2, params["stepSize"], params["maxDepth"], params["maxLeaves"], params["minInstancesPerNode"], params["l2"], params["maxBins"])
+        ensemble = boosting.fit(x[:2000], y[:2000], s)
+        nodes = [n for t in ensemble["trees"] for n in t["nodes"]]
+        leaves = [n for n in nodes if n["is_leaf"]]
+        assert min(n["cnt"] for n in leaves) >= 20 and max(sum(n["is_leaf"] for n in t["nodes"]) for t in ensemble["trees"]) <= 31
+        held = spark.createDataFrame([(row.tolist(), float(label)) for row, label in zip(x[2000:], y[2000:])], "x array<double>, y double")
+        p = [(r["p"], r["y"]) for r in held.select(M.sigmoid(M.score_batches(ensemble)(F.col("x"))).alias("p"), "y").collect()]
+        assert np.mean([(a >= 0.5) == (b == 1) for a, b in p]) >= least
+
+
+def test_parsing_with_own_dictionaries(spark, tmp_path):
+    from kindred.functions import entities as E
+
+    (tmp_path / "xx.yaml").write_text("address_abbreviations:\n  zz: zigzag\nlegal_suffixes:\n  - oyj\n")
+    row = spark.range(1)
+    ask = lambda: row.select(E.parse_name(F.lit("Acme Oyj"), F.lit("xx"))["legal_suffix"].alias("s"), E.parse_address(F.lit("1 zz st"), F.lit("xx"))["expanded_address"].alias("a"))
+    before = dict(D.ABBREVIATIONS)
+    with D.using(str(tmp_path)):
+        inside = ask()
+    assert tuple(inside.first()) == ("oyj", "1 zigzag street") and tuple(ask().first()) == ("", "1 zz street") and before == D.ABBREVIATIONS
