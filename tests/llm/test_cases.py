@@ -122,7 +122,7 @@ def tiny_parts(monkeypatch):
     """An exchange in several steps already for a small table."""
     monkeypatch.setattr(frames, "FAN_BITS", 2)
     monkeypatch.setattr(frames, "BATCH_BYTES", 1 << 11)
-    monkeypatch.setattr(frames.pack, "__defaults__", (1 << 11,))
+    monkeypatch.setattr(frames.pack, "__defaults__", (1 << 11, None))
     for module in (jaccard, lines, pii, substrings):
         monkeypatch.setattr(module, "part_bits", lambda df: 7)
 
