@@ -36,10 +36,12 @@ def latin_folds() -> tuple[str, str, str, dict[str, str]]:
 def strip_accents(text: Column) -> Column:
     """Decompose and drop combining marks, for characters below U+0370 (Latin and its marks); null gives ''."""
     chars, plain, gone, longer = latin_folds()
-    out = F.translate(F.coalesce(text, F.lit("")), chars + gone, plain)
+    text = F.coalesce(text, F.lit(""))
+    short = out = F.translate(text, chars + gone, plain)
     for char, to in longer.items():
         out = F.replace(out, F.lit(char), F.lit(to))
-    return out
+    # few texts have characters that become several
+    return F.when(F.rlike(text, F.lit(f"[{''.join(longer)}]")), out).otherwise(short)
 
 
 @F.pandas_udf(StringType())

@@ -100,6 +100,8 @@ def matching_ratio(a, b):
     seen: dict = {}
 
     def ratio(x, y):
+        if x == y:
+            return 1.0
         if (x, y) not in seen:
             seen[x, y] = SequenceMatcher(None, x or "", y or "").ratio()
         return seen[x, y]
