@@ -283,3 +283,41 @@ def test_whole_pipeline_and_empty_table(spark, tmp_path):
     got = corpus_pipeline.run(spark, sf_folder(spark, tmp_path / "a", rows)).collect()
     assert sum(r["start"] == 0 for r in got) == len(rows) - len(toxic) - 1
     assert corpus_pipeline.run(spark, sf_folder(spark, tmp_path / "b", [])).count() == 0
+
+
+# 5: terms
+
+
+def test_terms_by_plain_counts(spark):
+    """The disclosing terms against document counts by plain loops."""
+    import re
+
+    r = random.Random(21)
+    names = ["Anna", "Bo", "李雷", "X12", "kim", "of", "street", "river", "hill", "green"]
+    mails = ["a@x.example", "b@y.example", "+1 234 567 8901", "10.0.0.1"]
+    rows = []
+    for i in range(120):
+        parts = r.choices(names[4:], k=r.randint(2, 6)) + ["common"]
+        if r.random() < 0.5:
+            k = r.randrange(4)
+            parts += [mails[k]] + ([names[k]] if r.random() < 0.8 else [])
+        r.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    words = lambda t: {w.lower() for w in re.findall(r"[^\W_]+", t)}
+    base = {i: pii.base_spans(t) for i, t in rows}
+    value = {i: {t[a:b] for _, a, b in base[i]} for i, t in rows}
+    df_term, df_value, both = Counter(), Counter(), Counter()
+    free = {}
+    for i, t in rows:
+        rest = t
+        for _, a, b in base[i]:
+            rest = rest[:a] + " " * (b - a) + rest[b:]
+        free[i] = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W_]+", rest) if len(m[0]) >= 3 or not (m[0].isascii() and m[0].islower())]
+        df_term.update(words(t))
+        df_value.update(value[i])
+        both.update({(w.lower(), v) for w, _, _ in free[i] for v in value[i]})
+    n = len(rows)
+    told = {(w, v) for (w, v), c in both.items() if c >= 3 and df_value[v] >= 3 and math.log(c * n / (df_term[w] * df_value[v])) >= math.log(n / df_value[v]) / 1.25 - 1e-12}
+    want = {i: pii.listed(sorted([*base[i], *(("term", a, b) for w, a, b in free[i] if any((w.lower(), v) in told for v in value[i]))], key=lambda s: (s[1], pii.KINDS.index(s[0])))) for i, _ in rows}
+    got = {x["doc_id"]: x["spans"] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and sum("term" in s for s in got.values()) > 20
