@@ -20,10 +20,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.frames import arrow_schema, column, record
+from kindred.llm.frames import TABLES, arrow_schema, column, map_rows, record
 
-#: Entries of the tables of pairs and chunks that a worker keeps; beyond it, entries are computed each time.
-MEMO = 1_000_000
+#: Estimated bytes of each table of pairs, prefixes or chunks that a worker keeps.
+MEMO_BYTES = 96 << 20
+#: Bytes of an entry next to its key's and value's content, about.
+ENTRY = 160
+
+
+class Memo(dict):
+    """A table of at most ``MEMO_BYTES``: when half of that is new, the new entries become the old ones, which go.
+
+    Entries in use are found among the old ones and become new again.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.spent, self.old = 0, {}
+
+    def keep(self, key, value, size: int) -> None:
+        self.spent += ENTRY + size
+        if self.spent > MEMO_BYTES // 2:
+            self.old = dict(self)
+            self.clear()
+            self.spent = ENTRY + size
+        self[key] = value
 
 
 @lru_cache(2)
@@ -40,11 +61,11 @@ class PrefixEncoder:
     KEPT = (12, 9, 6, 3)
 
     def __init__(self, ranks: dict[bytes, int]):
-        self._prefixes: dict[bytes, tuple[int, ...]] = {}
+        self._prefixes = Memo()
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs = Memo()
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the neighbours of lowest rank, leftmost first, until none can be merged."""
@@ -62,10 +83,11 @@ class PrefixEncoder:
 
     def _valid(self, before: int, token: int) -> bool:
         """Whether the two tokens encode their joined bytes; before -1: whether the token encodes its own."""
-        data = self.tokens[token] if before < 0 else self.tokens[before] + self.tokens[token]
-        got = self.merged(data) == ([token] if before < 0 else [before, token])
-        if len(self._pairs) < MEMO:
-            self._pairs[before, token] = got
+        got = self._pairs.old.get((before, token))
+        if got is None:
+            data = self.tokens[token] if before < 0 else self.tokens[before] + self.tokens[token]
+            got = self.merged(data) == ([token] if before < 0 else [before, token])
+        self._pairs.keep((before, token), got, 64)
         return got
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
@@ -97,14 +119,14 @@ class PrefixEncoder:
             return [whole]
         last: list[int] = []
         for k in self.KEPT:
-            if len(piece) > k and (got := self._prefixes.get(piece[:k])):
+            if len(piece) > k and (got := self._prefixes.get(piece[:k]) or self._prefixes.old.get(piece[:k])):
                 last = list(got)
                 break
         known = len(last)
         self.extend(piece, last)
         for k in self.KEPT:
-            if known < k < len(piece) and len(self._prefixes) < MEMO:
-                self._prefixes[piece[:k]] = tuple(last[:k])
+            if known < k < len(piece):
+                self._prefixes.keep(piece[:k], tuple(last[:k]), 9 * k)
         return self.walk(last)
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -149,12 +171,16 @@ class TextEncoder:
     def __init__(self, pattern: str, encode_piece: Callable[[bytes], list[int]]):
         pieces = compiled(pattern).findall
 
-        class Table(dict):
+        class Table(Memo):
             def __init__(self, before: str):
                 super().__init__()
                 self.before = before
 
             def __missing__(self, chunk: str) -> bytes:
+                got = self.old.get(chunk)
+                if got is not None:
+                    self.keep(chunk, got, 2 * len(chunk) + len(got))
+                    return got
                 found = pieces(self.before + chunk)
                 if len(found) > 1 and found[0] != chunk:
                     # a word followed by a comma shares the word's entry
@@ -162,8 +188,8 @@ class TextEncoder:
                 else:
                     ids = [i for x in found for i in encode_piece(x.encode("utf-8", "surrogatepass"))]
                     got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(self) < MEMO and len(chunk) < 100:
-                    self[chunk] = got
+                if len(chunk) < 100:
+                    self.keep(chunk, got, 2 * len(chunk) + len(got))
                 return got
 
         #: Chunks at the start of a text, and those after a space.
@@ -188,6 +214,9 @@ def text_encoder(path: str, pattern: str) -> tuple[TextEncoder, list[bytes]]:
     return TextEncoder(pattern, encoder.encode), table
 
 
+TABLES.extend((read_ranks.cache_clear, text_encoder.cache_clear))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids array<int>)`` for each row; a null text has no ids. The vocabulary file must lie on every executor."""
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>"
@@ -199,7 +228,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             ids = [np.frombuffer(encoder.ids(x or ""), "<u4").astype(np.int32) for x in column(batch, text_col).to_pylist()]
             yield record({id_col: column(batch, id_col), "ids": ids}, target)
 
-    return docs.select(id_col, text_col).mapInArrow(rows, schema)
+    return map_rows(docs.select(id_col, text_col), rows, schema, keeps_tables=True)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -222,4 +251,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 text_sums.append(hashlib.sha256(b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))).hexdigest())
             yield record({"doc_id": column(batch, "doc_id"), "n_tokens": counts, "ids_sha256": ids_sums, "decoded_sha256": text_sums}, target)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    return map_rows(docs.select("doc_id", "text"), rows, schema, keeps_tables=True)

@@ -65,6 +65,12 @@ def cut(df: DataFrame, size: int | None = None) -> DataFrame:
     return in_large(df, size).checkpoint(eager=True)
 
 
+def cut_once(df: DataFrame) -> Stored:
+    """As ``cut``, to be dropped by whoever made it; for small tables, as it writes fewer files than ``stored``."""
+    made = cut(df)
+    return Stored(made, made._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+
+
 @dataclass
 class Stored:
     """A table written to the shared folder; whoever wrote it drops it when its successors are written."""
@@ -101,9 +107,13 @@ def renamed(docs: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame, text: str = "text") -> int:
-    """Catalyst's size estimate of ``df``, which runs no job; where it has none, the bytes of the texts and ids."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < UNKNOWN_BYTES:
+    """Catalyst's size estimate of tables as they are read, which runs no job; of other plans, the bytes of texts and ids.
+
+    Behind joins and functions the estimate is a product of sizes that says nothing.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < UNKNOWN_BYTES and not any(x in plan.toString() for x in ("Join", "LogicalRDD", "Arrow", "Pandas", "Python", "Generate", "Expand")):
         return size
     return int(df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 8), F.lit(0)).alias("n")).first()["n"])
 
@@ -113,6 +123,61 @@ def part_bits(df: DataFrame) -> int:
     return max(4, int(plan_bytes(df) // PART_BYTES).bit_length())
 
 
+# ---------------------------------------------------------------- Python workers
+
+#: Arrow bytes that a Python worker is given at once.
+INPUT_BYTES = 8 << 20
+#: Groups of more bytes are followed by a clean-up.
+TIDY_BYTES = 1 << 20
+#: Functions that drop the tables which a worker keeps between tasks of one operator.
+TABLES: list[Callable[[], None]] = []
+
+
+def tidy() -> None:
+    """Give memory back that this process has freed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def map_rows(df: DataFrame, rows: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps_tables: bool = False) -> DataFrame:
+    """``df.mapInArrow(rows, schema)`` with bounded memory: small batches, and workers that serve many operators in
+    turn drop the tables of the one before, unless it ``keeps_tables``, and return freed memory after each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(INPUT_BYTES))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from kindred.llm import frames
+
+        if not keeps_tables:
+            for drop in frames.TABLES:
+                drop()
+        try:
+            yield from rows(batches)
+        finally:
+            frames.tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def tidied(fn: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of a group's tables that gives memory back after a large group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        if table.nbytes > TIDY_BYTES:
+            from kindred.llm import frames
+
+            del table
+            frames.tidy()
+        return out
+
+    return run
+
+
 # ---------------------------------------------------------------- batches
 
 
@@ -135,9 +200,11 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
-def pack(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+def pack(df: DataFrame, most: int = BATCH_BYTES, keep: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
     """Rows of ``(batch_id, payload)``, exchanged by ``batch_id``; plans that use the result twice share the exchange.
 
+    ``keep`` says which rows of a batch are packed.
+
     The id follows from the batch's place and its content. Should a lost task be run again on rows in another order,
     its batches have other ids, and ``received`` fails instead of taking the answers for other rows.
     """
@@ -148,7 +215,7 @@ def pack(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in slices(batch, most):
+            for piece in slices(batch if keep is None else batch.filter(pa.array(keep(batch))), most):
                 # a slice keeps its parent's buffers; take copies just its rows
                 whole = pa.Table.from_batches([piece]).combine_chunks().to_batches()[0]
                 payload = to_bytes(whole)
@@ -156,7 +223,7 @@ def pack(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"batch_id": pa.array([batch_id], pa.int64()), "payload": pa.array([payload], pa.binary())})
                 number += 1
 
-    return df.mapInArrow(rows, "batch_id long, payload binary").repartition("batch_id")
+    return map_rows(df, rows, "batch_id long, payload binary").repartition("batch_id")
 
 
 def map_batches(packed: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -171,7 +238,7 @@ def map_batches(packed: DataFrame, fn: Callable, schema: str) -> DataFrame:
                 for out in fn(batch.column("batch_id")[i].as_py(), from_bytes(batch.column("payload")[i].as_py()), row):
                     yield record(out, target)
 
-    return packed.mapInArrow(rows, schema)
+    return map_rows(packed, rows, schema)
 
 
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
@@ -289,7 +356,7 @@ def answered(sent: DataFrame, answer: Callable, bits: int, done: int, reply: typ
             lengths, hashes, more = unpacked(table, payload)
             return replies(table, lengths, answer(hashes, np.repeat(np.arange(len(lengths)), lengths), **more))
 
-        return sent.groupBy("part").applyInArrow(one, schema)
+        return sent.groupBy("part").applyInArrow(tidied(one), schema)
 
     # merge the rows of about 2**FAN_BITS batches and cut them further
     more_bits = min(bits - done, FAN_BITS)

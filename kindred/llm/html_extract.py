@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.frames import arrow_schema, column, record
+from kindred.llm.frames import arrow_schema, column, map_rows, record
 
 #: A tag with quoted attributes, a comment, a declaration, or a lone "<" as text.
 _tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
@@ -271,4 +271,4 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
             texts = [main_text(x or "", weights) for x in column(batch, "html").to_pylist()]
             yield record({"page_id": column(batch, "page_id"), "url": column(batch, "url"), "text": texts, "n_chars": list(map(len, texts))}, target)
 
-    return pages.select("page_id", "url", "html").mapInArrow(rows, schema)
+    return map_rows(pages.select("page_id", "url", "html"), rows, schema)

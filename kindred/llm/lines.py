@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.frames import arrow_schema, column, grouped, grow, map_batches, pack, part_bits, plan_bytes, raw_texts, received, record, renamed, resolve, send, shrink
+from kindred.llm.frames import arrow_schema, column, grouped, grow, map_batches, map_rows, pack, part_bits, plan_bytes, raw_texts, received, record, renamed, resolve, send, shrink
 
 #: Shorter lines stay wherever they are.
 LEAST_CHARS = 10
@@ -63,7 +63,8 @@ def filters(docs: DataFrame, bits: int) -> np.ndarray:
     target = arrow_schema(docs.sparkSession, schema)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        # the lower bit: seen once, the other: twice
+        seen = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             ids = column(batch, "doc_id").to_pylist()
             high, _, rows = digests(raw_texts(batch), ids)
@@ -74,13 +75,13 @@ def filters(docs: DataFrame, bits: int) -> np.ndarray:
             new[1:] = per_doc[1:] != per_doc[:-1]
             again = ~new
             first = per_doc[new]
-            known = np.logical_and.reduce([once[p] for p in probes(first, bits)]) if len(first) else np.zeros(0, bool)
+            known = np.logical_and.reduce([seen[p] & 1 == 1 for p in probes(first, bits)]) if len(first) else np.zeros(0, bool)
             for p in probes(np.concatenate((first[known], per_doc[again])), bits):
-                twice[p] = True
+                seen[p] |= 2
             for p in probes(first, bits):
-                once[p] = True
-        for k, (a, b) in enumerate(zip(np.split(np.packbits(once), SLICES), np.split(np.packbits(twice), SLICES))):
-            yield record({"slice": [k], "once": [shrink(a)], "twice": [shrink(b)]}, target)
+                seen[p] |= 1
+        for k, part in enumerate(np.split(seen, SLICES)):
+            yield record({"slice": [k], "once": [shrink(np.packbits(part & 1))], "twice": [shrink(np.packbits(part >> 1))]}, target)
 
     def merge(table: pa.Table) -> pa.Table:
         once = twice = np.zeros((1 << bits) // 8 // SLICES, np.uint8)
@@ -89,7 +90,7 @@ def filters(docs: DataFrame, bits: int) -> np.ndarray:
             once, twice = once | a, twice | b | (once & a)
         return pa.table({"slice": table.column("slice").slice(0, 1), "twice": pa.array([shrink(twice)], pa.binary())})
 
-    got = docs.select("doc_id", "text").mapInArrow(build, schema).groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect()
+    got = map_rows(docs.select("doc_id", "text"), build, schema).groupBy("slice").applyInArrow(merge, "slice int, twice binary").collect()
     found = {r["slice"]: grow(bytes(r["twice"]), np.uint8) for r in got}
     empty = np.zeros((1 << bits) // 8 // SLICES, np.uint8)
     return np.concatenate([found.get(k, empty) for k in range(SLICES)])
@@ -131,7 +132,7 @@ def drop_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     twice = docs.sparkSession.sparkContext.broadcast(filters(docs, bits))
     schema = docs.schema if keep_columns else "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
     source = docs if keep_columns else docs.select("doc_id", "text")
-    of_source, of_result = arrow_schema(docs.sparkSession, source.schema), arrow_schema(docs.sparkSession, schema)
+    of_result = arrow_schema(docs.sparkSession, schema)
 
     def has_suspects(batch: pa.RecordBatch, texts: list[bytes]) -> np.ndarray:
         high, _, rows = digests(texts, column(batch, "doc_id").to_pylist())
@@ -148,12 +149,7 @@ def drop_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
                 whole = [texts[i] for i in clean]
                 yield record({"doc_id": column(part, "doc_id"), "n_lines": [t.count(b"\n") + 1 for t in whole], "n_dropped": [0] * len(whole), "kept_sha256": [hashlib.sha256(t).hexdigest() for t in whole]}, of_result)
 
-    def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = batch.filter(pa.array(has_suspects(batch, raw_texts(batch))))
-            yield record({n: column(part, n) for n in part.schema.names}, of_source)
-
-    packed = pack(source.mapInArrow(others, source.schema))
+    packed = pack(source, keep=lambda batch: has_suspects(batch, raw_texts(batch)))
 
     def ask(batch_id: int, table: pa.Table, _: dict) -> Iterator[dict]:
         high, low, smallest, several = suspects(column(table, "doc_id").to_pylist(), raw_texts(table), twice.value, bits)
@@ -201,5 +197,5 @@ def drop_repeats(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
         else:
             yield {"doc_id": ids, "n_lines": lines_n, "n_dropped": dropped_n, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
 
-    out = source.mapInArrow(finished, schema).union(map_batches(packed.join(answers, "batch_id", "left"), finish, schema))
+    out = map_rows(source, finished, schema).union(map_batches(packed.join(answers, "batch_id", "left"), finish, schema))
     return out.toDF(*names) if keep_columns else out

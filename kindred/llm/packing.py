@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.bpe import TextEncoder
-from kindred.llm.frames import arrow_schema, column, record
+from kindred.llm.frames import TABLES, arrow_schema, column, map_rows, record
 
 CAPACITY = 2048
 #: Documents in a group, on average.
@@ -98,6 +98,9 @@ def tokenizer(path: str, pattern: str) -> AddedTokens:
     return AddedTokens(TextEncoder(pattern, lambda piece: plain._core_bpe.encode_single_piece(piece)), special)
 
 
+TABLES.append(tokenizer.cache_clear)
+
+
 def pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id: int | None, capacity: int) -> DataFrame:
     """Every document's pieces with their lengths and checksums, and 63 random bits that follow from the document.
 
@@ -124,7 +127,7 @@ def pieces(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_i
                 out += [(doc_id, a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)]), n, dice) for a in range(0, n, capacity)]
             yield record(dict(zip(target.names, map(list, zip(*out)) if out else [[] for _ in target.names])), target)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    return map_rows(docs.select("doc_id", "text"), rows, schema, keeps_tables=True)
 
 
 def pack_pieces(cut: DataFrame, groups: int, capacity: int) -> DataFrame:

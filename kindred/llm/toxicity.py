@@ -22,10 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kindred.llm.frames import arrow_schema, column, record, renamed
+from kindred.llm.frames import arrow_schema, column, map_rows, record, renamed, tidy
 
 #: Labelled rows to learn from, at most, the ones with the smallest hash of their id; and as many unlabelled ones.
 SAMPLE = 12_000
+#: What a false alarm's share weighs against that of caught rows when the score's cut is chosen.
+ALARM = 20
+#: How far a labelled row is held to its label while the label model is estimated.
+HELD = 0.5
 #: Bits of mutual information (in nats) from which on a voter depends on another.
 DEPENDENT = 2e-4
 LEXICON = 256
@@ -66,21 +70,33 @@ class LabelModel:
     rates: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        given = np.where(self.parent >= 0, votes[:, self.parent], 0)
-        z = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
         yes, no = np.log(self.rates), np.log1p(-self.rates)
-        for sign, y in ((1, 1), (-1, 0)):
-            alone, step = votes @ (yes[y, 0] - no[y, 0]) + no[y, 0].sum(), yes[y, 1] - no[y, 1] - yes[y, 0] + no[y, 0]
-            z += sign * (alone + (votes * given) @ step + given @ (no[y, 1] - no[y, 0]))
+        # what a vote adds to the log odds, what it adds more with its parent's, and the parent's without it
+        own, both = ((yes - no)[1] - (yes - no)[0])[0], ((yes - no)[1] - (yes - no)[0])[1]
+        base, lone = (no[1] - no[0])[0], (no[1] - no[0])[1] - (no[1] - no[0])[0]
+        z = np.empty(len(votes))
+        for at, x, given in self.runs(votes, self.parent):
+            z[at : at + len(x)] = x @ own + (x * given) @ (both - own) + given @ lone
+        z += math.log(self.prior / (1 - self.prior)) + base.sum()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    @staticmethod
+    def runs(votes: np.ndarray, parent: np.ndarray, rows: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Some rows at a time: where they begin, their votes, and the votes of each voter's parent."""
+        for at in range(0, len(votes), rows):
+            x = votes[at : at + rows].astype(float)
+            yield at, x, np.where(parent >= 0, x[:, parent], 0)
+
     @classmethod
     def estimate(cls, votes: np.ndarray, p: np.ndarray, parent: np.ndarray) -> LabelModel:
         """The model of largest likelihood if ``p`` is each row's share of class 1, smoothed by half a row."""
-        given = np.where(parent >= 0, votes[:, parent], 0)
         rates = np.empty((2, 2, votes.shape[1]))
+        sums = np.zeros((2, 3, votes.shape[1]))
+        for at, x, given in cls.runs(votes, parent):
+            for y, q in enumerate((1 - p[at : at + len(x)], p[at : at + len(x)])):
+                sums[y] += q @ x, q @ (x * given), q @ given
         for y, q in enumerate((1 - p, p)):
-            total, both, of_parent = q @ votes, q @ (votes * given), q @ given
+            total, both, of_parent = sums[y]
             overall = (total + 0.5) / (q.sum() + 1)
             rates[y, 1] = (both + overall) / (of_parent + 1)
             rates[y, 0] = (total - both + overall) / (q.sum() - of_parent + 1)
@@ -93,7 +109,7 @@ class LabelModel:
         shared = np.zeros((m, m))
         for q in (1 - p, p):
             size = q.sum() + 1
-            both = (votes * q[:, None]).T @ votes + 0.25
+            both = sum(((x * q[at : at + len(x), None]).T @ x for at, x, _ in LabelModel.runs(votes, np.full(m, -1))), np.zeros((m, m))) + 0.25
             one = q @ votes + 0.5
             for cell, i, j in ((both, one, one), (one[:, None] - both + 0.5, one, size - one), (one[None, :] - both + 0.5, size - one, one), (size - one[:, None] - one[None, :] + both, size - one, size - one)):
                 cell = np.maximum(cell, 1e-3)
@@ -111,17 +127,20 @@ class LabelModel:
 
     @classmethod
     def fit(cls, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
-        """Expectation-maximisation from the shares ``start`` of class 1; NaN for rows of which nothing is known."""
-        x = votes.astype(float)
+        """Expectation-maximisation from the shares ``start`` of class 1; NaN for rows of which nothing is known.
+
+        Between its rounds a row of known start is held ``HELD`` of the way to it, so that the classes stay where the
+        labels are; what the model then says of a row comes from its votes alone.
+        """
         known = ~np.isnan(start)
-        alone = np.full(x.shape[1], -1)
-        model = cls.estimate(x[known], start[known], alone)
-        p = model.posterior(x)
+        alone = np.full(votes.shape[1], -1)
+        model = cls.estimate(votes[known], start[known], alone)
+        p = model.posterior(votes)
         for parent in (alone, None):
-            parent = cls.dependences(x, p) if parent is None else parent
+            parent = cls.dependences(votes, p) if parent is None else parent
             for _ in range(rounds):
-                model = cls.estimate(x, p, parent)
-                new = model.posterior(x)
+                model = cls.estimate(votes, np.where(known, HELD * np.nan_to_num(start) + (1 - HELD) * p, p), parent)
+                new = model.posterior(votes)
                 moved = np.abs(new - p).max()
                 p = new
                 if moved < 1e-4:
@@ -236,12 +255,28 @@ def learn(rows: list[tuple[bytes, bytes, int]], unlabelled: Callable[[list[bytes
     start = np.concatenate((np.where(y == 1, 0.95, 0.05), np.full(len(more), np.nan)))
     # a word and its beginnings often vote as one
     votes = np.unique(votes, axis=1)
-    posterior = LabelModel.fit(votes, start).posterior(votes[: len(y)].astype(float))
+    posterior = LabelModel.fit(votes, start).posterior(votes[: len(y)])
     if not known:
         return Classifier({}, math.log(y.mean() / (1 - y.mean())))
     columns = [np.array([known[f] for f, n in fs.items() for _ in range(min(n, 3))], np.int64) for fs in own]
     w, bias = fit_logistic(columns, len(known), posterior)
-    return Classifier({f: float(w[i]) for f, i in known.items() if abs(w[i]) > 1e-3}, float(bias))
+    model = Classifier({f: float(w[i]) for f, i in known.items() if abs(w[i]) > 1e-3}, float(bias))
+    weight = {x: v for x in {x for words, _, _ in kept for x in words.split()} if (v := model.word_weight(x))}
+    model.bias -= cut_off(np.array([model.bias + math.fsum(weight.get(x, 0.0) for x in words.split()) for words, _, _ in kept]), y)
+    return model
+
+
+def cut_off(z: np.ndarray, y: np.ndarray) -> float:
+    """Where to cut the log odds ``z``: the most of the share of caught rows less ``ALARM`` times that of false alarms."""
+    order = np.argsort(-z, kind="stable")
+    z, y = z[order], y[order]
+    gain = np.concatenate(([0.0], np.cumsum(np.where(y == 1, 1 / max((y == 1).sum(), 1), -ALARM / max((y == 0).sum(), 1)))))
+    # between equal values there is no cut
+    allowed = np.concatenate(([True], z[1:] < z[:-1], [True]))
+    k = int(np.where(allowed, gain, -np.inf).argmax())
+    if k == 0:
+        return float(z[0]) + 1
+    return float(z[k - 1]) - 1 if k == len(z) else float(z[k - 1] + z[k]) / 2
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -278,7 +313,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple
             packed = [" ".join(sorted(w.decode("utf-8", "replace") for w in words_of(t or ""))) + "\0" + spelled(t) for t in texts]
             yield record({"packed": packed, "label": column(batch, "label")}, target)
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(rows, schema)
+    got = map_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), rows, schema)
     # copies of a document can share an id; the bound holds for rows as well
     first = got.orderBy(F.xxhash64("packed"), "packed", "label").limit(sample)
     return [(*r["packed"].encode().split(b"\0"), r["label"]) for r in first.collect()]
@@ -298,14 +333,16 @@ def unlabelled_votes(docs: DataFrame, labels: DataFrame, sample: int, lexicon: l
             hits = [sorted({place[f] for w in words_of(t or "") for f in features_of(w) if f in place}) for t in texts]
             yield record({"hits": hits, "patterns": list(map(spelled, texts))}, target)
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(rows, schema)
+    got = map_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text"), rows, schema)
     first = got.orderBy(F.xxhash64("hits", "patterns"), "hits", "patterns").limit(sample)
     return [([lexicon[j] for j in r["hits"]], r["patterns"].encode()) for r in first.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
     """Learn from ``sample`` labelled and as many unlabelled rows, at most."""
-    return learn(training_rows(docs, labels, sample), lambda lexicon: unlabelled_votes(docs, labels, sample, lexicon))
+    model = learn(training_rows(docs, labels, sample), lambda lexicon: unlabelled_votes(docs, labels, sample, lexicon))
+    tidy()
+    return model
 
 
 #: Words whose weights a task keeps.
@@ -336,7 +373,7 @@ def scored(docs: DataFrame, model: Classifier | None, finish: Callable[[pa.Recor
             texts = column(batch, "text").to_pylist()
             yield finish(batch, [0.0 if shared.value is None else score(t, weights) for t in texts])
 
-    return docs.mapInArrow(rows, schema)
+    return map_rows(docs, rows, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
