@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.frames import arrow_schema, column, cut, record
+from kindred.llm.frames import arrow_schema, column, cut, map_rows, record
 from kindred.llm.topk import usable
 
 COSINE = 0.98
@@ -155,7 +155,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     part_ = part.take(pa.array(row[some]))
                     yield record({"label": column(part_, "label"), "d": [d] * part_.num_rows, "cell": cell[some], "guest": guest[some], "c": column(part_, "c"), "size": column(part_, "size"), "unit": list(units[row[some]])}, target)
 
-    dealt = prepared.select("label", "d", "c", "size", "v").mapInArrow(spread, schema)
+    dealt = map_rows(prepared.select("label", "d", "c", "size", "v"), spread, schema)
     cell = ["label", "d", "cell"]
     counted = dealt.groupBy(*cell).agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests")).where("homes > 0 and homes + guests > 1")
     blocks = counted.select(*cell, F.ceil(F.col("homes") / BLOCK).cast("int").alias("home_blocks"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("guest_blocks"))
@@ -192,7 +192,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.table({"a": ids[some], "b": ids[label[some]], "links": adds[some]})
 
     found = cut(tiles.groupBy(*cell, "b1", "b2").applyInArrow(links, "a long, b long, links long"))
-    whole = components(found.where("a <> b"))
+    whole = components(found.where("a <> b"), found.count())
     more = found.groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
     ends = classes.select("label", "v", "c", "size").join(more, "c", "left").join(whole.withColumnRenamed("node", "c").withColumnRenamed("label", "component"), "c", "left")
     ends = ends.select("label", "v", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component"))

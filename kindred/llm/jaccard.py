@@ -3,14 +3,15 @@
 1. *Suspects.* Documents meet on the smallest hashes of their shingle sets, an extended prefix. Two documents that
    link share at least so many of them, so a document with fewer repeated ones links with nothing and leaves.
 2. *Classes.* Documents with equal sets are one class from here on.
-3. *Tiles.* Classes that share a key are dealt by size into bands; two sizes that can link lie in the same or in
-   neighbouring bands. Large bands are dealt over cells, and each pair of cells is a tile. In a tile, bit counts
-   of hashed bitmaps bound the overlap of two sets from above, and sorted arrays are intersected only where the
-   bound allows a link. Pairs already connected are passed over, as only the components are asked for.
-4. Two rounds with minimum hashes as keys connect nearly everything. The last round takes every prefix hash as a
-   key, for classes not yet connected, which finds the rest: no link between different components is lost. There
-   the bitmaps alone travel; the sets of the few pairs that they let pass are fetched for the exact test. A key
-   with very many classes goes through tiles with cells as before.
+3. *Rounds.* Classes that share a minimum hash are dealt by size into bands, and large bands over cells of bounded
+   size. In a cell, bit counts of hashed bitmaps bound the overlap of two sets from above, and sorted arrays are
+   intersected only where the bound allows a link. Pairs already connected are passed over, as only the components
+   are asked for. Each round has other keys, bands and cells and starts from the components so far, so a group of
+   near copies of any size is sent once a round and soon is one component, which is sent no more.
+4. *Last round.* Every prefix hash is a key for classes not yet connected, which finds the rest: no link between
+   different components is lost. There the bitmaps alone travel; the sets of the few pairs that they let pass are
+   fetched for the exact test. A key with very many classes is dealt over tiles: a pair of cells of the same or of
+   neighbouring bands, so that each pair of classes whose sizes can link meets in one.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.components import components
-from kindred.llm.frames import arrow_schema, column, cut, gram_hashes, grouped, map_batches, mixed, multipliers, pack, part_bits, raw_texts, received, record, resolve, send, word_hashes
+from kindred.llm.frames import Stored, arrow_schema, column, cut, gram_hashes, grouped, in_few, in_large, map_batches, map_rows, mixed, multipliers, pack, part_bits, plan_bytes, quoted, raw_texts, received, record, resolve, send, stored, tidied, word_hashes
 
 WORDS = 5
 #: Links need 100 * overlap >= PERCENT * union.
 PERCENT = 80
-#: Shingles in a cell of a tile, on average at most.
+#: Shingles in a cell, on average at most.
 CELL = 1 << 20
-MIN_HASH_ROUNDS = 2
+#: Rounds with minimum hashes as keys.
+ROUNDS = 2
 #: Classes with a key in the last round, beyond which the key is dealt over tiles.
 LARGE_KEY = 4096
 #: Bits of the bitmaps that travel in the last round.
@@ -122,7 +124,8 @@ def found_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return column(table, "doc_id").to_pylist(), [shingles(t, words) for t in raw_texts(table)]
 
     def prefixes(ids: list, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        heads = [s[: prefix(len(s), percent, True)] if d is not None and len(s) else s[:0] for d, s in zip(ids, sets)]
+        # the smallest hashes, made uniform again
+        heads = [mixed(~s[: prefix(len(s), percent, True)]) if d is not None and len(s) else s[:0] for d, s in zip(ids, sets)]
         distinct, which, n = np.unique(np.concatenate([np.empty(0, np.uint64), *heads]), return_inverse=True, return_counts=True)
         return distinct, n > 1, np.split(which, np.cumsum([len(h) for h in heads])[:-1]) if heads else []
 
@@ -141,8 +144,8 @@ def found_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         import xxhash
 
         ids, sets = sets_of(table)
-        _d, _s, which = prefixes(ids, sets)
-        again = received(row["answers"], bool)
+        distinct, _s, which = prefixes(ids, sets)
+        again = received(row["answers"], bool, len(distinct))
         keys, grams, seen = [], [], set()
         for s, w in zip(sets, which):
             n = len(s)
@@ -154,23 +157,24 @@ def found_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             seen.add(key)
         yield {"doc_id": ids, "n_shingles": [len(s) for s in sets], "key": keys, "grams": grams}
 
-    answers = resolve(map_batches(packed, ask, "part int, batch_id long, hashes binary, shared binary"), repeated, shared=bool)
+    answers = resolve(map_batches(packed, ask, "part long, batch_id long, hashes binary, shared binary"), repeated, bits, bool, shared=bool)
     return map_batches(packed.join(answers, "batch_id", "left"), suspect, "doc_id long, n_shingles long, key binary, grams binary")
 
 
-def keyed(classes: DataFrame, keys) -> DataFrame:
-    """``(key, c, n, comp)``: a row for each of ``keys(grams)``."""
-    schema = "key long, c long, n int, comp long"
+def keyed(classes: DataFrame, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(key, c, n, turn)``: a row for each of ``keys(grams)``, numbered by ``turn``."""
+    schema = "key long, c long, n int, turn int"
     target = arrow_schema(classes.sparkSession, schema)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, comp, grams in zip(column(batch, "c").to_pylist(), column(batch, "comp").to_pylist(), column(batch, "grams").to_pylist()):
-                grams = np.frombuffer(grams, np.uint64)
-                ks = keys(grams).view(np.int64)
-                yield record({"key": ks, "c": np.full(len(ks), c), "n": np.full(len(ks), len(grams), np.int32), "comp": np.full(len(ks), comp)}, target)
+            found = [np.frombuffer(g, np.uint64) for g in column(batch, "grams").to_pylist()]
+            ks = [keys(g) for g in found]
+            times = [len(k) for k in ks]
+            if ks:
+                yield record({"key": np.concatenate(ks).view(np.int64), "c": np.repeat(column(batch, "c").to_numpy(), times), "n": np.repeat([len(g) for g in found], times).astype(np.int32), "turn": np.concatenate([np.arange(t, dtype=np.int32) for t in times])}, target)
 
-    return classes.select("c", "comp", "grams").mapInArrow(rows, schema)
+    return map_rows(classes.select("c", "grams"), rows, schema)
 
 
 def signatures(classes: DataFrame) -> DataFrame:
@@ -186,7 +190,7 @@ def signatures(classes: DataFrame) -> DataFrame:
                 signs.append(np.packbits(bit).tobytes())
             yield record({"c": column(batch, "c"), "sign": signs}, target)
 
-    return classes.select("c", "grams").mapInArrow(rows, "c long, sign binary")
+    return map_rows(classes.select("c", "grams"), rows, "c long, sign binary")
 
 
 def sketch(grams: np.ndarray) -> bytes:
@@ -211,7 +215,7 @@ def sketches(classes: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             yield record({"c": column(batch, "c"), name: [sketch(np.frombuffer(g, np.uint64)) for g in column(batch, "grams").to_pylist()]}, target)
 
-    return classes.select("c", "grams").mapInArrow(rows, f"c long, {name} binary")
+    return map_rows(classes.select("c", "grams"), rows, f"c long, {name} binary")
 
 
 def passing(pairs: DataFrame, left: DataFrame, right: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
@@ -224,7 +228,7 @@ def passing(pairs: DataFrame, left: DataFrame, right: DataFrame, test: Callable[
             yes = [test(x, y) for x, y in zip(column(batch, one).to_pylist(), column(batch, two).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return both.mapInArrow(rows, "a long, b long")
+    return map_rows(both, rows, "a long, b long")
 
 
 def bounded_pairs(key: np.ndarray, at: np.ndarray, n: np.ndarray, comp: np.ndarray, signs: np.ndarray, percent: int) -> np.ndarray:
@@ -253,11 +257,15 @@ def bounded_pairs(key: np.ndarray, at: np.ndarray, n: np.ndarray, comp: np.ndarr
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
-def last_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """``(a, b)``: every link between different components of ``classes`` with ``c``, ``comp`` and ``grams``."""
-    rows = keyed(classes, lambda grams: grams[: prefix(len(grams), percent, False)])
+def last_links(classes: DataFrame, labels: DataFrame, percent: int, buckets: int, size: int) -> tuple[DataFrame, Stored]:
+    """``(a, b)``: every link between different components of ``classes`` with ``c`` and ``grams``; ``labels``: ``(c, comp)``.
+
+    The second result is a table that the links are computed from.
+    """
+    rows = keyed(classes, lambda grams: grams[: prefix(len(grams), percent, False)]).drop("turn").join(labels, "c")
     shared = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("often")).where("low < high").select("key", "often")
-    open_rows = cut(rows.join(shared, "key"))
+    table = stored(rows.hint("merge").join(shared, "key").select("key", "c", "n", "comp", "often"), size)
+    open_rows = in_few(table.df, table.df.count())
     small = open_rows.where(F.col("often") <= LARGE_KEY).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     signs = small.select(F.col("bucket").alias("at"), F.col("c").alias("of")).distinct().join(signatures(classes).withColumnRenamed("c", "of"), "of")
 
@@ -276,7 +284,35 @@ def last_links(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
     sets = classes.select("c", "grams")
     exact = passing(thin, sets.withColumnRenamed("grams", "grams_a"), sets.withColumnRenamed("grams", "grams_b"), lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
     large = open_rows.where(F.col("often") > LARGE_KEY).select("key", "c", "n", "comp")
-    return exact.unionByName(tile_links(classes, large, percent))
+    return exact.unionByName(tile_links(classes, large, percent)), table
+
+
+def compared(sent: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: links that connect the components in each tile of ``(tile, c, comp, grams, side, two)``."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        comp = table.column("comp").to_numpy()
+        sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        side = table.column("side").to_numpy() if table.column("two")[0].as_py() else None
+        new = connect(sets, comp, percent, side)
+        moved = np.flatnonzero(new != comp)
+        return pa.table({"a": comp[moved], "b": new[moved]})
+
+    return sent.groupBy("tile").applyInArrow(tidied(compare), "a long, b long").distinct()
+
+
+def cell_links(classes: DataFrame, rows: DataFrame, percent: int, turn: int, n: int) -> DataFrame:
+    """``(a, b)``: links found in cells: classes that share a key, are of a size band, and fall into one of its cells.
+
+    ``rows`` has ``key``, ``c``, ``n`` and ``comp``. Keys and bands of a single component are left alone. ``turn``
+    moves the bands' bounds and deals the cells anew.
+    """
+    band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 0.5 * turn + 1e-9)
+    member = rows.select("c", "comp", F.xxhash64("key", band).alias("key"), "n")
+    open_ = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.sum("n") / CELL).alias("cells")).where("low < high").select("key", "cells")
+    dealt = member.hint("merge").join(open_, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("c", F.lit(turn)), F.col("cells"))).alias("tile"), "c", "comp")
+    sent = in_few(dealt, n).hint("merge").join(classes.select("c", "grams"), "c")
+    return compared(sent.withColumn("side", F.lit(0).cast("long")).withColumn("two", F.lit(False)), percent)
 
 
 def tile_links(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -308,16 +344,7 @@ def tile_links(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     open_tiles = tiles.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tile")
     sent = tiles.join(open_tiles, "tile").join(classes.select("c", "grams"), "c")
 
-    def compare(table: pa.Table) -> pa.Table:
-        c, comp = table.column("c").to_numpy(), table.column("comp").to_numpy()
-        sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-        two = table.column("two")[0].as_py()
-        side = table.column("side").to_numpy() if two else None
-        new = connect(sets, comp, percent, side)
-        moved = np.flatnonzero(new != comp)
-        return pa.table({"a": comp[moved], "b": new[moved]})
-
-    return sent.groupBy("tile").applyInArrow(compare, "a long, b long").distinct()
+    return compared(sent, percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -326,30 +353,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     A document without words, or with a null text, has no shingles and is its own component. Rows without a
     ``doc_id`` get no component and link with nothing. Rows that share an id count as documents of their own.
     """
-    found = cut(found_sets(docs, words, percent))
-    members = found.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("c"))
-    sets = found.where("grams is not null").select("key", "grams").groupBy("key").agg(F.first("grams").alias("grams"))
-    classes = cut(members.join(sets, "key").select("key", "c", "grams"))
-    labels = classes.select("c", F.col("c").alias("comp"))
-    links = None
-    for turn in multipliers(MIN_HASH_ROUNDS, 7):
-        now = classes.select("c", F.col("c").alias("comp"), "grams")
-        rows = keyed(now, lambda grams, turn=turn: mixed(grams * turn).min(keepdims=True))
-        more = tile_links(now, rows, percent)
-        links = more if links is None else links.unionByName(more)
-    labels = labelled(classes, links := cut(links))
-    links = links.unionByName(cut(last_links(classes.select("c", "grams").join(labels, "c"), percent, 1 << max(4, part_bits(docs) - 2))))
-    labels = labelled(classes, links)
-    ends = classes.select("key", "c").join(labels, "c").select("key", F.col("comp").alias("label"))
-    return found.join(ends, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
-
-
-def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
-    whole = components(links).withColumnRenamed("node", "c")
-    return cut(classes.select("c").join(whole, "c", "left").select("c", F.coalesce("label", "c").alias("comp")))
+    size = plan_bytes(docs)
+    found = stored(found_sets(docs, words, percent), 2 * size)
+    classes = stored(found.df.where("key is not null").groupBy("key").agg(F.min("doc_id").cast("long").alias("c"), F.first("grams", ignorenulls=True).alias("grams")), 2 * size)
+    ends = cut(found.df.select("doc_id", "n_shingles", "key"), size // 8)
+    found.drop()
+    turns = multipliers(ROUNDS, 7)
+    n = classes.df.count()
+    keys = stored(keyed(classes.df, lambda grams: mixed(grams[None, :] * turns[:, None]).min(1)), size)
+    labels = in_few(classes.df.select("c", F.col("c").alias("comp")), n)
+    for turn in range(ROUNDS):
+        rows = in_few(keys.df.where(F.col("turn") == turn).join(labels, "c"), n)
+        labels = relabelled(labels, cell_links(classes.df, rows, percent, turn, n), n)
+    keys.drop()
+    links, table = last_links(classes.df, labels, percent, 1 << max(4, part_bits(docs) - 2), size)
+    labels = relabelled(labels, links, n)
+    table.drop()
+    members = cut(in_few(classes.df.select("key", "c").join(labels, "c").select("key", F.col("comp").alias("label")), n))
+    classes.drop()
+    return in_large(ends.join(members, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")), size)
+
+
+def relabelled(labels: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """``(c, comp)`` after joining the components at the ends of ``links``."""
+    whole = components(links, n).select(F.col("node").alias("comp"), "label")
+    return cut(in_few(labels.hint("merge").join(whole, "comp", "left").select("c", F.coalesce("label", "comp").alias("comp")), n))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its component, and rows without an id."""
     gone = near_duplicates(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*map(quoted, docs.columns))

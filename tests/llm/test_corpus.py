@@ -190,9 +190,9 @@ def test_components(spark):
     order = list(range(100, 160))
     random.Random(3).shuffle(order)
     links = [*zip(order, order[1:]), *((9, k) for k in range(20, 40)), (1, 2), (2, 1), (2, 3), (3, 1), (5, 5)]
-    found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), len(links)).collect()))
     assert found == {k: 100 for k in order} | {k: 9 for k in [9, *range(20, 40)]} | {1: 1, 2: 1, 3: 1}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), 0).count() == 0
 
 
 def test_large_keys_go_through_tiles(spark, docs, monkeypatch):
