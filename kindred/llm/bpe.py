@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from kindred.llm.frames import TABLES, arrow_schema, column, map_rows, record
 
 #: Estimated bytes of each table of pairs, prefixes or chunks that a worker keeps.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 128 << 20
 #: Bytes of an entry next to its key's and value's content, about.
 ENTRY = 160
 
@@ -64,7 +64,8 @@ class PrefixEncoder:
         self._prefixes = Memo()
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
+        #: Every ending of a token, with the rank of the token that it is itself, or -1.
+        self.endings = {token[k:]: ranks.get(token[k:], -1) for token in ranks for k in range(len(token))}
         self._pairs = Memo()
 
     def merged(self, data: bytes) -> list[int]:
@@ -92,16 +93,20 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Fill ``last``, which holds the last token of each prefix so far, up to the end of ``data``."""
-        rank, known, longest = self.ranks.get, self._pairs.get, self.longest
+        ending, known = self.endings.get, self._pairs.get
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = rank(data[start:end])
-                if token is not None:
-                    before = last[start - 1] if start else -1
-                    good = known((before, token))
-                    if self._valid(before, token) if good is None else good:
-                        last.append(token)
-                        break
+            # the tokens that end here, from the shortest to the longest
+            found, start = [], end - 1
+            while start >= 0 and (token := ending(data[start:end])) is not None:
+                if token >= 0:
+                    found.append((start, token))
+                start -= 1
+            for start, token in reversed(found):
+                before = last[start - 1] if start else -1
+                good = known((before, token))
+                if self._valid(before, token) if good is None else good:
+                    last.append(token)
+                    break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
         return last

@@ -27,7 +27,7 @@ from kindred.llm.frames import TABLES, arrow_schema, column, map_rows, record
 CAPACITY = 2048
 #: Documents in a group, on average.
 GROUP_DOCS = 4096
-#: A group with more pieces (rows that repeat each other fall into one) is packed in runs of this many.
+#: A group with more pieces is packed in runs of this many.
 MOST_PIECES = 1 << 16
 
 
